@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import entry_oracles as oracles  # noqa: E402
-from lexweave.operators import cooc, phrases, vocab  # noqa: E402
+from lexweave.functions import vectors  # noqa: E402
+from lexweave.operators import cooc, lowrank, matrix, phrases, ridge, vocab  # noqa: E402
 from lexweave.plans.phrases import build_phrases  # noqa: E402
+from lexweave.plans.train import build_space, phrase_space, train  # noqa: E402
 from lexweave.plans.words import plain_words, tagged_words  # noqa: E402
+from lexweave.session import cut_lineage  # noqa: E402
 from lexweave.sources import corpus, standin  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +126,174 @@ def ppmi_phrases(spark, sf_dir):
     return _rounded(build_phrases(_tagged(spark, sf_dir), min_count=5).ppmi(), "val")
 
 
+def sparse_vectors(spark, sf_dir):
+    vectors = matrix.sparse_vectors(plain_words(_lines(spark, sf_dir)).ppmi())
+    placed = vectors.select("idx", "segment", F.posexplode("entries").alias("place", "e"))
+    return placed.select("idx", "segment", F.col("place").cast("bigint").alias("place"), "e.*")
+
+
+def coo_binary(spark, sf_dir):
+    return matrix.load_matrix(_tagged(spark, sf_dir).ppmi())
+
+
+def coo_symmetric(spark, sf_dir):
+    return matrix.load_symmetric(plain_words(_lines(spark, sf_dir)).ppmi())
+
+
+def matrix_stats(spark, sf_dir):
+    return matrix.matrix_stats(coo_binary(spark, sf_dir))
+
+
+def word_cosine(spark, sf_dir):
+    words = _tagged(spark, sf_dir)
+    loaded = cut_lineage(matrix.load_matrix(words.ppmi()))
+    counts = phrases.phrase_counts(phrases.phrase_rows(words.parsed))
+    return _rounded(
+        matrix.word_cosine(vocab.at_least(counts, 5), loaded, words.vocab), "cosine"
+    )
+
+
+def _embeddings(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return table.withColumn("embedding", F.col("embedding").cast("array<double>"))
+
+
+def dense_cosine(spark, sf_dir):
+    rows = _embeddings(spark, sf_dir).select("vec_id", "embedding")
+    following = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    both = rows.join(following, "vec_id")
+    return _rounded(
+        both.select(
+            "vec_id",
+            vectors.signed_cosine(F.col("embedding"), F.col("next")).alias("cosine"),
+            vectors.absolute_cosine(F.col("embedding"), F.col("next")).alias("absolute"),
+        ),
+        "cosine",
+        "absolute",
+    )
+
+
+def normalise_vectors(spark, sf_dir):
+    unit = _embeddings(spark, sf_dir).select(
+        "vec_id", vectors.normalise(F.col("embedding")).alias("vec")
+    )
+    cells = unit.where(F.col("vec").isNotNull()).select(
+        "vec_id", F.posexplode("vec").alias("place", "val")
+    )
+    return _rounded(cells, "val").withColumn("place", F.col("place").cast("bigint"))
+
+
+def _small_matrix(spark, sf_dir):
+    return cut_lineage(matrix.load_matrix(_tagged(spark, sf_dir, SMALL).ppmi()))
+
+
+def _rebuilt(cells: DataFrame, factors: lowrank.Factors, values) -> DataFrame:
+    """The factorisation's value at every stored cell."""
+    weights = F.array(*[F.lit(float(v)) for v in values])
+    left = factors.left.select(F.col("idx").alias("row"), F.col("vec").alias("u"))
+    right = factors.right.select(F.col("idx").alias("col"), F.col("vec").alias("v"))
+    scaled = F.zip_with("v", weights, lambda a, b: a * b)
+    joined = cells.select("row", "col").join(left, "row").join(right, "col")
+    return _rounded(joined.select("row", "col", vectors.dot(F.col("u"), scaled).alias("val")), "val")
+
+
+def randomized_svd(spark, sf_dir):
+    cells = _small_matrix(spark, sf_dir)
+    svd = lowrank.randomized_svd(cells, SMALL)
+    return _rebuilt(cells, svd, svd.values)
+
+
+def randomized_eigen(spark, sf_dir):
+    cells = _small_matrix(spark, sf_dir).where(F.col("col") < SMALL)
+    eigen = lowrank.randomized_eigen(cells, SMALL)
+    return _rebuilt(cells, eigen, eigen.values)
+
+
+def randomized_pca(spark, sf_dir):
+    cells = _small_matrix(spark, sf_dir)
+    pca = lowrank.randomized_pca(cells, SMALL)
+    return _rebuilt(cells, pca, [1.0] * len(pca.values))
+
+
+def _space(spark, sf_dir):
+    words = _tagged(spark, sf_dir, SMALL)
+    return words, build_space(words.ppmi(), words.vocab, SMALL)
+
+
+def word_vectors(spark, sf_dir):
+    _, space = _space(spark, sf_dir)
+    own = space.word_vectors.select("idx", "vec")
+    following = own.select((F.col("idx") - 1).alias("idx"), F.col("vec").alias("next"))
+    cosine = vectors.signed_cosine(F.col("vec"), F.col("next")).alias("next_cosine")
+    return _rounded(own.join(following, "idx").select("idx", cosine), "next_cosine")
+
+
+def phrase_vectors(spark, sf_dir):
+    words, space = _space(spark, sf_dir)
+    built = build_phrases(words, min_count=5)
+    modifiers = ridge.oriented(built.vocab).select("label", "idx", "word")
+    word_vecs = space.word_vectors.select(F.col("term").alias("word"), F.col("vec").alias("m"))
+    rows = phrase_space(built, space).join(modifiers, ["label", "idx"]).join(word_vecs, "word")
+    return _rounded(
+        rows.select(
+            "label",
+            "idx",
+            vectors.dot(F.col("vec"), F.col("vec")).alias("norm2"),
+            vectors.dot(F.col("vec"), F.col("m")).alias("along_modifier"),
+        ),
+        "norm2",
+        "along_modifier",
+    )
+
+
+def _trained(spark, sf_dir):
+    words, space = _space(spark, sf_dir)
+    return train(build_phrases(words, min_count=5), space, min_phrases=3)
+
+
+def train_samples(spark, sf_dir):
+    rows = _trained(spark, sf_dir).samples
+    return rows.select(
+        "label",
+        "word",
+        "arg",
+        F.round(vectors.dot(F.col("p"), F.col("p")), 5).alias("p_norm2"),
+        F.round(vectors.dot(F.col("p"), F.col("a")), 5).alias("p_along_a"),
+    )
+
+
+def _planar_samples(spark, sf_dir):
+    e = F.col("embedding")
+    return _embeddings(spark, sf_dir).select(
+        "label",
+        "vec_id",
+        F.array(F.get(e, F.lit(2)), F.get(e, F.lit(3))).alias("p"),
+        F.array(F.get(e, F.lit(0)), F.get(e, F.lit(1))).alias("a"),
+    )
+
+
+def ridge_modifiers(spark, sf_dir):
+    fits = ridge.ridge_fits(_planar_samples(spark, sf_dir), ["label"], ["vec_id"])
+    cells = {
+        f"m{i + 1}{j + 1}": F.round(F.get(F.get("mat", F.lit(i)), F.lit(j)), 6)
+        for i in range(2)
+        for j in range(2)
+    }
+    return _rounded(fits, "residual", "s_trace").withColumns(cells).drop("mat", "err")
+
+
+def gcv_lambda(spark, sf_dir):
+    best = ridge.ridge_fits(
+        _planar_samples(spark, sf_dir), ["label"], ["vec_id"], best_only=True
+    )
+    return _rounded(best.select("label", "lam", "err"), "err")
+
+
+def train_modifiers(spark, sf_dir):
+    modifiers = _trained(spark, sf_dir).modifiers
+    return modifiers.select("label", "word", "lam", "n_samples")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Plain word PPMI over the documents, strongest pairs first."""
     job = plain_words(_lines(spark, "/root/testdata/sf0.001"))
@@ -146,6 +317,22 @@ QUERIES: tuple[Query, ...] = (
     phrase_vocab_index,
     phrase_contexts,
     ppmi_phrases,
+    sparse_vectors,
+    coo_binary,
+    coo_symmetric,
+    matrix_stats,
+    word_cosine,
+    dense_cosine,
+    normalise_vectors,
+    randomized_svd,
+    randomized_eigen,
+    randomized_pca,
+    word_vectors,
+    phrase_vectors,
+    train_samples,
+    ridge_modifiers,
+    gcv_lambda,
+    train_modifiers,
 )
 
 

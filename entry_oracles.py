@@ -243,3 +243,167 @@ FROM pairs JOIN vocab va ON va.idx = a JOIN vocab vb ON vb.idx = b""",
         phrase_matrix(5, DIM), 'SELECT label, col, "row", round(val, 6) AS val FROM pcoo'
     ),
 }
+
+
+COSINE = """
+norms AS (SELECT col, sqrt(sum(val * val)) AS norm FROM mat GROUP BY col)"""
+
+# Columns of the small matrix with phrases, and the cosine of phrase and word columns. At full
+# rank the dense vectors keep all inner products of the sparse columns.
+PHRASE_SPACE = (
+    phrase_matrix(5, SMALL)
+    + word_matrix(SMALL)[len(TAGGED_VOCAB) :]
+    + """,
+pmat AS (SELECT label, col, "row", count(*)::DOUBLE AS val FROM pcoo GROUP BY 1, 2, 3),
+pnorm AS (SELECT label, col, sum(val * val) AS norm2 FROM pmat GROUP BY 1, 2),
+wnorm AS (SELECT col, sqrt(sum(val * val)) AS norm FROM mat GROUP BY 1),
+oriented AS (
+  SELECT label, idx AS col, w1, w2,
+         CASE WHEN label = 'nsubj' THEN w2 ELSE w1 END AS word,
+         CASE WHEN label = 'nsubj' THEN w1 ELSE w2 END AS arg
+  FROM pvocab),
+pw AS (
+  SELECT p.label, p.col AS col, m.col AS word_idx, sum(p.val * m.val) AS dot
+  FROM pmat p JOIN mat m ON m."row" = p."row" GROUP BY 1, 2, 3)"""
+)
+
+ORACLES.update(
+    {
+        "sparse_vectors": with_(
+            PLAIN_PPMI
+            + """,
+cells AS (
+  SELECT min_idx AS idx, max_idx AS ctx, val FROM ppmi
+  UNION ALL SELECT max_idx, min_idx, val FROM ppmi WHERE min_idx <> max_idx)""",
+            """SELECT idx, ctx // 1024 AS segment,
+       (row_number() OVER (PARTITION BY idx, ctx // 1024 ORDER BY ctx) - 1)::BIGINT AS place,
+       ctx, round(val, 6) AS val FROM cells""",
+        ),
+        "coo_binary": with_(word_matrix(DIM), 'SELECT "row", col, val FROM mat'),
+        "coo_symmetric": with_(
+            PLAIN_PPMI,
+            """SELECT "row", col, count(*)::DOUBLE AS val FROM (
+  SELECT min_idx AS "row", max_idx AS col FROM ppmi
+  UNION ALL SELECT max_idx, min_idx FROM ppmi WHERE min_idx <> max_idx) GROUP BY 1, 2""",
+        ),
+        "matrix_stats": with_(
+            word_matrix(DIM),
+            """SELECT (max("row") + 1)::BIGINT AS n_rows, (max(col) + 1)::BIGINT AS n_cols,
+       count(*)::BIGINT AS nnz FROM mat""",
+        ),
+        "word_cosine": with_(
+            EDGES
+            + """,
+asked AS (
+  SELECT DISTINCT w1, w2 FROM (
+    SELECT label, w1, w2 FROM instances GROUP BY 1, 2, 3 HAVING count(*) >= 5))"""
+            + word_matrix(DIM)[len(TAGGED_VOCAB) :]
+            + ","
+            + COSINE
+            + """,
+coded AS (
+  SELECT w1, w2, x.idx AS i, y.idx AS j
+  FROM asked LEFT JOIN vocab x ON x.term = w1 LEFT JOIN vocab y ON y.term = w2),
+dots AS (
+  SELECT i, j, sum(a.val * b.val) AS dot
+  FROM (SELECT DISTINCT i, j FROM coded)
+  JOIN mat a ON a.col = i JOIN mat b ON b.col = j AND b."row" = a."row" GROUP BY 1, 2)""",
+            """SELECT w1, w2, CASE WHEN i IS NULL OR j IS NULL THEN -1.0
+       ELSE round(coalesce(dot, 0) / x.norm / y.norm, 6) END AS cosine
+FROM coded LEFT JOIN dots USING (i, j)
+LEFT JOIN norms x ON x.col = i LEFT JOIN norms y ON y.col = j""",
+        ),
+        "dense_cosine": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine,
+       round(abs(list_cosine_similarity(a.e, b.e)), 6) AS absolute
+FROM v a JOIN v b ON b.vec_id = a.vec_id + 1""",
+        "normalise_vectors": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v)
+SELECT vec_id, (generate_subscripts(e, 1) - 1)::BIGINT AS place,
+       round(unnest(e) / norm, 6) AS val FROM n WHERE norm > 0""",
+        "randomized_svd": with_(word_matrix(SMALL), 'SELECT "row", col, val FROM mat'),
+        "randomized_eigen": with_(
+            word_matrix(SMALL), f'SELECT "row", col, val FROM mat WHERE col < {SMALL}'
+        ),
+        "randomized_pca": with_(word_matrix(SMALL), 'SELECT "row", col, val FROM mat'),
+        "word_vectors": with_(
+            word_matrix(SMALL) + "," + COSINE,
+            """SELECT x.col AS idx, round(coalesce(dot, 0) / x.norm / y.norm, 6) AS next_cosine
+FROM norms x JOIN norms y ON y.col = x.col + 1
+LEFT JOIN (
+  SELECT a.col, sum(a.val * b.val) AS dot
+  FROM mat a JOIN mat b ON b.col = a.col + 1 AND b."row" = a."row" GROUP BY 1) d
+  ON d.col = x.col""",
+        ),
+        "phrase_vectors": with_(
+            PHRASE_SPACE,
+            """SELECT o.label, o.col AS idx, round(n.norm2, 6) AS norm2,
+       round(coalesce(d.dot, 0) / w.norm, 6) AS along_modifier
+FROM oriented o JOIN pnorm n ON n.label = o.label AND n.col = o.col
+JOIN vocab v ON v.term = o.word JOIN wnorm w ON w.col = v.idx
+LEFT JOIN pw d ON d.label = o.label AND d.col = o.col AND d.word_idx = v.idx""",
+        ),
+        "train_samples": with_(
+            PHRASE_SPACE
+            + """,
+trained AS (SELECT label, word FROM oriented GROUP BY 1, 2 HAVING count(*) >= 3),
+ww AS (
+  SELECT a.col AS i, b.col AS j, sum(a.val * b.val) AS dot
+  FROM (SELECT DISTINCT x.idx AS i, y.idx AS j FROM oriented o
+        JOIN vocab x ON x.term = o.word JOIN vocab y ON y.term = o.arg) q
+  JOIN mat a ON a.col = q.i JOIN mat b ON b.col = q.j AND b."row" = a."row" GROUP BY 1, 2)""",
+            """SELECT o.label, o.word, o.arg,
+  round(2 - 2 * coalesce(dm.dot, 0) / sqrt(n.norm2) / wm.norm, 5) AS p_norm2,
+  round(coalesce(da.dot, 0) / sqrt(n.norm2) / wa.norm
+        - coalesce(ww.dot, 0) / wm.norm / wa.norm, 5) AS p_along_a
+FROM oriented o JOIN trained USING (label, word)
+JOIN pnorm n ON n.label = o.label AND n.col = o.col
+JOIN vocab m ON m.term = o.word JOIN vocab a ON a.term = o.arg
+JOIN wnorm wm ON wm.col = m.idx JOIN wnorm wa ON wa.col = a.idx
+LEFT JOIN pw dm ON dm.label = o.label AND dm.col = o.col AND dm.word_idx = m.idx
+LEFT JOIN pw da ON da.label = o.label AND da.col = o.col AND da.word_idx = a.idx
+LEFT JOIN ww ON ww.i = m.idx AND ww.j = a.idx""",
+        ),
+    }
+)
+
+# Closed-form ridge regression in two dimensions, one per label of the embeddings.
+RIDGE = """
+s AS (
+  SELECT label, embedding[1]::DOUBLE AS a1, embedding[2]::DOUBLE AS a2,
+         embedding[3]::DOUBLE AS p1, embedding[4]::DOUBLE AS p2 FROM embeddings),
+t AS (
+  SELECT label, count(*)::BIGINT AS n, sum(a1*a1) AS g11, sum(a1*a2) AS g12, sum(a2*a2) AS g22,
+         sum(p1*a1) AS h11, sum(p1*a2) AS h12, sum(p2*a1) AS h21, sum(p2*a2) AS h22,
+         sum(p1*p1 + p2*p2) AS q
+  FROM s GROUP BY label),
+l AS (SELECT unnest([0.1, 1, 10])::DOUBLE AS lam),
+d AS (SELECT *, (g11 + lam) * (g22 + lam) - g12 * g12 AS det FROM t, l),
+i AS (SELECT *, (g22 + lam) / det AS i11, -g12 / det AS i12, (g11 + lam) / det AS i22 FROM d),
+m AS (
+  SELECT *, h11*i11 + h12*i12 AS m11, h11*i12 + h12*i22 AS m12,
+         h21*i11 + h22*i12 AS m21, h21*i12 + h22*i22 AS m22,
+         i11*g11 + 2*i12*g12 + i22*g22 AS s_trace FROM i),
+r AS (
+  SELECT *, sqrt(greatest(m11*(m11*g11 + m12*g12) + m12*(m11*g12 + m12*g22)
+         + m21*(m21*g11 + m22*g12) + m22*(m21*g12 + m22*g22)
+         - 2*(m11*h11 + m12*h12 + m21*h21 + m22*h22) + q, 0)) AS residual FROM m),
+e AS (SELECT *, residual * residual / (n * (1 - s_trace / n) * (1 - s_trace / n)) AS err FROM r)"""
+
+ORACLES.update(
+    {
+        "ridge_modifiers": with_(
+            RIDGE,
+            """SELECT label, lam, n AS n_samples, round(m11, 6) AS m11, round(m12, 6) AS m12,
+  round(m21, 6) AS m21, round(m22, 6) AS m22, round(residual, 6) AS residual,
+  round(s_trace, 6) AS s_trace FROM r""",
+        ),
+        "gcv_lambda": with_(
+            RIDGE,
+            """SELECT label, lam, round(err, 6) AS err FROM e
+QUALIFY row_number() OVER (PARTITION BY label ORDER BY err, lam) = 1""",
+        ),
+    }
+)
