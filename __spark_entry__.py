@@ -8,12 +8,21 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import entry_oracles as oracles  # noqa: E402
 from lexweave.functions import vectors  # noqa: E402
-from lexweave.operators import cooc, lowrank, matrix, phrases, ridge, vocab  # noqa: E402
+from lexweave.operators import (  # noqa: E402
+    cooc,
+    lowrank,
+    matrix,
+    phrases,
+    ridge,
+    rules,
+    trees,
+    vocab,
+)
 from lexweave.plans.phrases import build_phrases  # noqa: E402
 from lexweave.plans.train import build_space, phrase_space, train  # noqa: E402
 from lexweave.plans.words import plain_words, tagged_words  # noqa: E402
@@ -294,6 +303,62 @@ def train_modifiers(spark, sf_dir):
     return modifiers.select("label", "word", "lam", "n_samples")
 
 
+def _placed(spark, sf_dir):
+    docs = corpus.documents(spark, sf_dir)
+    return trees.phrase_sentences(standin.rule_phrases(docs), standin.rule_sentences(docs))
+
+
+def rule_tokens(spark, sf_dir):
+    return trees.rule_tokens(_placed(spark, sf_dir))
+
+
+def dep_depth(spark, sf_dir):
+    seen = trees.depths(standin.rule_sentences(corpus.documents(spark, sf_dir)))
+    placed = seen.select("rule_id", "side", "sent_no", F.posexplode("depth").alias("at", "depth"))
+    return placed.select("rule_id", "side", "sent_no", (F.col("at") + 1).alias("idx"), "depth")
+
+
+def phrase_highest_node(spark, sf_dir):
+    return trees.highest_nodes(_placed(spark, sf_dir))
+
+
+def phrase_nodes(spark, sf_dir):
+    return trees.phrase_nodes(_placed(spark, sf_dir)).select(
+        "rule_id", "side", "frag", "node", "level", "path", "label", "word", "head"
+    )
+
+
+def phrase_expressions(spark, sf_dir):
+    rules_table = standin.rule_phrases(corpus.documents(spark, sf_dir))
+    return trees.expression_texts(rules_table, trees.phrase_nodes(_placed(spark, sf_dir)))
+
+
+def expressions_read(spark, sf_dir):
+    nodes = rules.nodes_from_text(phrase_expressions(spark, sf_dir))
+    place = Window.partitionBy("rule_id", "side", "frag").orderBy("node")
+    return nodes.select(
+        "rule_id", "side", "frag", "level", "label", "word", "head",
+        F.row_number().over(place).cast("bigint").alias("place"),
+    )
+
+
+def _embedded_fragments(spark, sf_dir):
+    return _embeddings(spark, sf_dir).select(
+        F.floor(F.col("vec_id") / 8).alias("rule_id"),
+        F.when(F.col("vec_id") % 2 == 0, "L").otherwise("R").alias("side"),
+        F.floor(F.col("vec_id") % 8 / 2).cast("int").alias("frag"),
+        F.col("embedding").alias("vec"),
+    )
+
+
+def mean_similarity(spark, sf_dir):
+    return _rounded(rules.mean_similarity(_embedded_fragments(spark, sf_dir)), "mean_sim")
+
+
+def greedy_match(spark, sf_dir):
+    return _rounded(rules.greedy_match(_embedded_fragments(spark, sf_dir)), "sim")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Plain word PPMI over the documents, strongest pairs first."""
     job = plain_words(_lines(spark, "/root/testdata/sf0.001"))
@@ -333,6 +398,14 @@ QUERIES: tuple[Query, ...] = (
     ridge_modifiers,
     gcv_lambda,
     train_modifiers,
+    rule_tokens,
+    dep_depth,
+    phrase_highest_node,
+    phrase_nodes,
+    phrase_expressions,
+    expressions_read,
+    mean_similarity,
+    greedy_match,
 )
 
 

@@ -407,3 +407,228 @@ QUALIFY row_number() OVER (PARTITION BY label ORDER BY err, lam) = 1""",
         ),
     }
 )
+
+
+def _heads() -> str:
+    """Nearest-neighbour governors: (own tag, governor tags, offsets, relation), first hit wins."""
+    choices = [
+        ("jj", "('nn')", (1, 2, 3), "amod"),
+        ("jj", "('vb')", (-1, -2, -3), "acomp"),
+        ("nn", "('in')", (-1, -2, -3), "pobj"),
+        ("nn", "('vb')", (-1, -2, -3, -4), "dobj"),
+        ("nn", "('vb')", (1, 2, 3, 4), "nsubj"),
+        ("in", "('nn', 'vb')", (-1, -2, -3), "prep"),
+    ]
+    gov, rel = [], []
+    for own, governors, offsets, name in choices:
+        for o in offsets:
+            near = f"f{o}" if o > 0 else f"p{-o}"
+            hit = f"WHEN t = '{own}' AND {near} IN {governors} THEN"
+            gov.append(f"{hit} pos + 1 + ({o})")
+            rel.append(f"{hit} '{name}'")
+    return (
+        "CASE " + " ".join(gov) + " ELSE 0 END AS gov, "
+        "CASE " + " ".join(rel) + " ELSE 'root' END AS rel"
+    )
+
+
+SENTENCES = (
+    TOKENS
+    + f""",
+near AS (
+  SELECT *, lead(t, 1) OVER w AS f1, lead(t, 2) OVER w AS f2, lead(t, 3) OVER w AS f3,
+         lead(t, 4) OVER w AS f4, lag(t, 1) OVER w AS p1, lag(t, 2) OVER w AS p2,
+         lag(t, 3) OVER w AS p3, lag(t, 4) OVER w AS p4
+  FROM tagged WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY pos)),
+stok AS (
+  SELECT (doc_id * 1048576 + line_no // 4)::BIGINT AS rule_id,
+         CASE WHEN line_no % 4 < 2 THEN 'L' ELSE 'R' END AS side, (line_no % 2)::INT AS sent_no,
+         (pos + 1)::INT AS idx, count(*) OVER (PARTITION BY doc_id, line_no) AS n,
+         w || '-' || t AS term, t, {_heads()}
+  FROM near),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY rule_id, side, (t IS NULL OR t = 'dt')
+                               ORDER BY sent_no, idx) - 1 AS o,
+         row_number() OVER (PARTITION BY rule_id, side, sent_no, gov, rel ORDER BY idx) AS nth
+  FROM stok),
+sent AS (
+  SELECT rule_id, side, sent_no, idx, term, t, gov, rel,
+         CASE WHEN t <> 'dt' AND idx < n THEN o::INT END AS ord,
+         rel = 'pobj' AND nth = 1 AS first_obj,
+         CASE t WHEN 'vb' THEN 'V' WHEN 'in' THEN 'P' WHEN 'nn' THEN 'N' ELSE 'B' END AS own
+  FROM ranked)"""
+)
+
+# Walk from the roots down: depth, role, and the root of the fragment each phrase word is in.
+WALK = (
+    SENTENCES
+    + """,
+walk AS (
+  SELECT rule_id, side, sent_no, idx, ord, term, gov, rel, 1 AS depth,
+         CASE WHEN ord IS NULL THEN 'X' ELSE own END AS role, false AS attached,
+         NULL::VARCHAR AS up_role, NULL::VARCHAR AS up_term, 1 AS root_depth, ord AS root_ord,
+         NULL::INT AS up_root_depth, NULL::INT AS up_root_ord
+  FROM sent WHERE gov = 0
+  UNION ALL
+  SELECT c.rule_id, c.side, c.sent_no, c.idx, c.ord, c.term, c.gov, c.rel, p.depth + 1,
+         CASE WHEN c.ord IS NULL THEN 'X'
+              WHEN p.role = 'V' AND c.rel IN ('nsubj', 'dobj') THEN 'N'
+              WHEN p.role = 'V' AND c.rel = 'prep' THEN 'P'
+              WHEN p.role = 'N' AND c.rel = 'amod' THEN 'A'
+              WHEN p.role = 'N' AND c.rel = 'prep' THEN 'P'
+              WHEN p.role = 'P' AND c.first_obj THEN 'N' ELSE c.own END,
+         c.ord IS NOT NULL AND takes(p.role, c.rel, c.first_obj), p.role, p.term,
+         CASE WHEN c.ord IS NOT NULL AND takes(p.role, c.rel, c.first_obj)
+              THEN p.root_depth ELSE p.depth + 1 END,
+         CASE WHEN c.ord IS NOT NULL AND takes(p.role, c.rel, c.first_obj)
+              THEN p.root_ord ELSE c.ord END,
+         p.root_depth, p.root_ord
+  FROM walk p JOIN sent c ON c.rule_id = p.rule_id AND c.side = p.side
+   AND c.sent_no = p.sent_no AND c.gov = p.idx)""".replace(
+        "takes(p.role, c.rel, c.first_obj)",
+        "((p.role = 'V' AND c.rel IN ('nsubj', 'dobj', 'prep')) OR (p.role = 'N' AND "
+        "c.rel IN ('amod', 'prep')) OR (p.role = 'P' AND c.first_obj))",
+    )
+)
+
+NODES = (
+    WALK
+    + """,
+stops AS (
+  SELECT rule_id, side, sent_no, min(depth * 10000000::BIGINT + ord) AS stop
+  FROM walk WHERE ord IS NOT NULL AND NOT attached AND role = 'B' GROUP BY 1, 2, 3),
+words AS (
+  SELECT w.*, coalesce(root_depth * 10000000::BIGINT + root_ord >= stop, false) AS broken,
+         coalesce(up_root_depth * 10000000::BIGINT + up_root_ord >= stop, false) AS up_broken
+  FROM walk w LEFT JOIN stops USING (rule_id, side, sent_no) WHERE ord IS NOT NULL),
+plain AS (
+  SELECT rule_id, side, sent_no, idx, term, gov, rel, up_role, up_term,
+         attached AND NOT broken AS linked, attached AND NOT broken AND role = 'A' AS adj,
+         CASE WHEN broken THEN sent_no * 100000000000000::BIGINT + 50000000000000 + ord
+              ELSE sent_no * 100000000000000::BIGINT + root_depth * 10000000 + root_ord END AS fk
+  FROM words),
+adjs AS (
+  SELECT *, gov AS noun, row_number() OVER w AS k, lag(idx) OVER w AS prev,
+         lag(term) OVER w AS prev_term, count(*) OVER p AS m, max(idx) OVER p AS last_idx,
+         arg_max(term, idx) OVER p AS last_term, arg_min(term, idx) OVER p AS first_term
+  FROM plain WHERE adj
+  WINDOW w AS (PARTITION BY rule_id, side, sent_no, gov ORDER BY idx),
+         p AS (PARTITION BY rule_id, side, sent_no, gov)),
+nouns AS (SELECT DISTINCT rule_id, side, sent_no, noun, first_term FROM adjs),
+nodes AS (
+  SELECT p.rule_id, p.side, p.sent_no, fk, idx AS node,
+         CASE WHEN linked THEN gov END AS parent,
+         CASE WHEN NOT linked THEN NULL WHEN up_role = 'V' AND rel = 'prep' THEN 'dobj'
+              WHEN up_role = 'N' AND rel = 'prep' THEN 'pmod' ELSE rel END AS label,
+         coalesce(n.first_term, term) AS word, CASE WHEN linked THEN up_term END AS head, idx AS s
+  FROM plain p LEFT JOIN nouns n
+    ON n.rule_id = p.rule_id AND n.side = p.side AND n.sent_no = p.sent_no AND n.noun = p.idx
+  WHERE NOT adj
+  UNION ALL
+  SELECT a.rule_id, a.side, a.sent_no, a.fk, a.idx,
+         CASE WHEN k = 1 AND m > 1 THEN last_idx WHEN k > 2 THEN prev ELSE noun END, 'amod',
+         CASE WHEN k = 1 THEN q.term ELSE a.term END,
+         CASE WHEN k = 1 THEN last_term ELSE prev_term END, 0
+  FROM adjs a JOIN plain q
+    ON q.rule_id = a.rule_id AND q.side = a.side AND q.sent_no = a.sent_no AND q.idx = a.noun
+  UNION ALL
+  SELECT rule_id, side, sent_no,
+         sent_no * 100000000000000::BIGINT + up_root_depth * 10000000 + up_root_ord, -idx, gov,
+         'acomp', term, up_term, idx
+  FROM words WHERE rel = 'acomp' AND up_role = 'V' AND NOT up_broken),
+numbered AS (
+  SELECT *, dense_rank() OVER (PARTITION BY rule_id, side ORDER BY fk)::INT AS frag FROM nodes)"""
+)
+
+PATHS = (
+    NODES
+    + """,
+tree AS (
+  SELECT rule_id, side, frag, node, label, word, head, '' AS path, 0 AS level
+  FROM numbered WHERE parent IS NULL
+  UNION ALL
+  SELECT c.rule_id, c.side, c.frag, c.node, c.label, c.word, c.head,
+         p.path || '.' || lpad(c.s::VARCHAR, 7, '0'), p.level + 1
+  FROM tree p JOIN numbered c ON c.rule_id = p.rule_id AND c.side = p.side AND c.frag = p.frag
+   AND c.parent = p.node)"""
+)
+
+ORACLES.update(
+    {
+        "rule_tokens": with_(
+            SENTENCES,
+            "SELECT rule_id, side, sent_no, idx, ord, term FROM sent WHERE ord IS NOT NULL",
+        ),
+        "dep_depth": with_(
+            WALK, "SELECT rule_id, side, sent_no, idx, depth FROM walk", recursive=True
+        ),
+        "phrase_highest_node": with_(
+            WALK,
+            """SELECT rule_id, side, sent_no, idx FROM walk WHERE ord IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY rule_id, side, sent_no ORDER BY depth, ord) = 1""",
+            recursive=True,
+        ),
+        "phrase_nodes": with_(
+            PATHS,
+            "SELECT rule_id, side, frag, node, level, path, label, word, head FROM tree",
+            recursive=True,
+        ),
+        "phrase_expressions": with_(
+            PATHS
+            + """,
+opened AS (
+  SELECT *, row_number() OVER (PARTITION BY rule_id, side, frag ORDER BY path) - 1 AS num
+  FROM tree),
+marks AS (
+  SELECT rule_id, side, frag, path AS spot,
+         CASE WHEN path = '' THEN word ELSE label || '-#' || num || '# ' || word END AS mark
+  FROM opened
+  UNION ALL
+  SELECT rule_id, side, frag, path || '~', '#' || num || '#' FROM opened WHERE path <> ''),
+exprs AS (
+  SELECT rule_id, side, frag, string_agg(mark, ' ' ORDER BY spot) AS expr
+  FROM marks GROUP BY 1, 2, 3),
+sides AS (
+  SELECT DISTINCT (doc_id * 1048576 + line_no // 4)::BIGINT AS rule_id, side
+  FROM lines, (VALUES ('L'), ('R')) s(side))""",
+            """SELECT rule_id, side, coalesce(string_agg(frag || ' = ' || expr, chr(9) ORDER BY frag),
+  '#FAIL#') AS text FROM sides LEFT JOIN exprs USING (rule_id, side) GROUP BY 1, 2""",
+            recursive=True,
+        ),
+        "expressions_read": with_(
+            PATHS,
+            """SELECT rule_id, side, frag, level, label, word, head,
+  row_number() OVER (PARTITION BY rule_id, side, frag ORDER BY path)::BIGINT AS place
+FROM tree""",
+            recursive=True,
+        ),
+        "mean_similarity": """
+WITH cells AS (
+  SELECT vec_id // 8 AS rule_id, vec_id % 2 AS side, generate_subscripts(embedding, 1) AS i,
+         unnest(embedding)::DOUBLE AS x FROM embeddings),
+sums AS (SELECT rule_id, side, i, sum(x) AS x FROM cells GROUP BY 1, 2, 3)
+SELECT l.rule_id, round(abs(sum(l.x * r.x) / sqrt(sum(l.x * l.x)) / sqrt(sum(r.x * r.x))), 6)
+  AS mean_sim
+FROM sums l JOIN sums r ON r.rule_id = l.rule_id AND r.i = l.i AND l.side = 0 AND r.side = 1
+GROUP BY 1""",
+        "greedy_match": """
+WITH RECURSIVE v AS (
+  SELECT vec_id // 8 AS rule_id, vec_id % 2 AS side, (vec_id % 8 // 2)::INT AS frag,
+         embedding::DOUBLE[] AS e FROM embeddings),
+sims AS (
+  SELECT l.rule_id, l.frag AS i, r.frag AS j, abs(list_cosine_similarity(l.e, r.e)) AS sim
+  FROM v l JOIN v r ON r.rule_id = l.rule_id AND l.side = 0 AND r.side = 1),
+start AS (
+  SELECT rule_id, list({'sim': sim, 'i': i, 'j': j} ORDER BY sim DESC, i, j) AS left_over
+  FROM sims GROUP BY 1),
+steps AS (
+  SELECT rule_id, 0 AS place, left_over FROM start
+  UNION ALL
+  SELECT rule_id, place + 1, list_filter(left_over, lambda p:
+    p.i <> left_over[1].i AND p.j <> left_over[1].j)
+  FROM steps WHERE len(left_over) > 0)
+SELECT rule_id, place, round(left_over[1].sim, 6) AS sim, left_over[1].i AS l_frag,
+       left_over[1].j AS r_frag
+FROM steps WHERE len(left_over) > 0""",
+    }
+)
