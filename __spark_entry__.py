@@ -14,6 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 import entry_oracles as oracles  # noqa: E402
 from lexweave.functions import vectors  # noqa: E402
 from lexweave.operators import (  # noqa: E402
+    compose,
     cooc,
     lowrank,
     matrix,
@@ -359,6 +360,40 @@ def greedy_match(spark, sf_dir):
     return _rounded(rules.greedy_match(_embedded_fragments(spark, sf_dir)), "sim")
 
 
+def _composed(spark, sf_dir):
+    trained = _trained(spark, sf_dir)
+    nodes = trees.phrase_nodes(_placed(spark, sf_dir))
+    return compose.compose(nodes, trained.space.word_vectors, cut_lineage(trained.modifiers))
+
+
+def compose_vectors(spark, sf_dir):
+    fragments = _composed(spark, sf_dir)
+    length = F.when(F.col("vec").isNotNull(), F.round(vectors.norm(F.col("vec")), 6))
+    return fragments.select("rule_id", "side", "frag", "status", length.alias("length"))
+
+
+def _scored(spark, sf_dir):
+    table = standin.rule_phrases(corpus.documents(spark, sf_dir))
+    return rules.rule_scores(table, cut_lineage(_composed(spark, sf_dir)))
+
+
+def rule_status(spark, sf_dir):
+    count = F.coalesce(F.size("matches"), F.lit(0)).cast("bigint")
+    n_matches = F.when(F.col("matches").isNull(), F.lit(0).cast("bigint")).otherwise(count)
+    return _scored(spark, sf_dir).select("rule_id", "status", n_matches.alias("n_matches"))
+
+
+def rule_scores(spark, sf_dir):
+    rows = _scored(spark, sf_dir).select(
+        "rule_id", "status", "mean_sim", F.posexplode_outer("matches").alias("at", "m")
+    )
+    return _rounded(
+        rows.select("rule_id", "status", "mean_sim", "m.place", "m.sim", "m.l_frag", "m.r_frag"),
+        "mean_sim",
+        "sim",
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Plain word PPMI over the documents, strongest pairs first."""
     job = plain_words(_lines(spark, "/root/testdata/sf0.001"))
@@ -406,6 +441,9 @@ QUERIES: tuple[Query, ...] = (
     expressions_read,
     mean_similarity,
     greedy_match,
+    compose_vectors,
+    rule_status,
+    rule_scores,
 )
 
 

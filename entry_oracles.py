@@ -435,7 +435,7 @@ def _heads() -> str:
 SENTENCES = (
     TOKENS
     + f""",
-near AS (
+around AS (
   SELECT *, lead(t, 1) OVER w AS f1, lead(t, 2) OVER w AS f2, lead(t, 3) OVER w AS f3,
          lead(t, 4) OVER w AS f4, lag(t, 1) OVER w AS p1, lag(t, 2) OVER w AS p2,
          lag(t, 3) OVER w AS p3, lag(t, 4) OVER w AS p4
@@ -445,7 +445,7 @@ stok AS (
          CASE WHEN line_no % 4 < 2 THEN 'L' ELSE 'R' END AS side, (line_no % 2)::INT AS sent_no,
          (pos + 1)::INT AS idx, count(*) OVER (PARTITION BY doc_id, line_no) AS n,
          w || '-' || t AS term, t, {_heads()}
-  FROM near),
+  FROM around),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY rule_id, side, (t IS NULL OR t = 'dt')
                                ORDER BY sent_no, idx) - 1 AS o,
@@ -520,7 +520,8 @@ nodes AS (
          CASE WHEN linked THEN gov END AS parent,
          CASE WHEN NOT linked THEN NULL WHEN up_role = 'V' AND rel = 'prep' THEN 'dobj'
               WHEN up_role = 'N' AND rel = 'prep' THEN 'pmod' ELSE rel END AS label,
-         coalesce(n.first_term, term) AS word, CASE WHEN linked THEN up_term END AS head, idx AS s
+         coalesce(n.first_term, term) AS word, CASE WHEN linked AND NOT (up_role = 'N' AND rel = 'prep') THEN up_term END AS head,
+         idx AS s
   FROM plain p LEFT JOIN nouns n
     ON n.rule_id = p.rule_id AND n.side = p.side AND n.sent_no = p.sent_no AND n.noun = p.idx
   WHERE NOT adj
@@ -632,3 +633,57 @@ SELECT rule_id, place, round(left_over[1].sim, 6) AS sim, left_over[1].i AS l_fr
 FROM steps WHERE len(left_over) > 0""",
     }
 )
+
+# Words with a vector, modifiers with a matrix, and which fragments lack a vector: those with a
+# bad node that the root reaches without passing a pmod edge.
+COMPOSED = (
+    PHRASE_SPACE
+    + PATHS[len(TOKENS) :].replace("tree AS (", "tree AS MATERIALIZED (")
+    + """,
+known AS (SELECT term FROM vocab JOIN wnorm ON wnorm.col = vocab.idx),
+matrices AS (
+  SELECT label, word FROM oriented GROUP BY 1, 2 HAVING count(*) >= 3),
+owned AS (SELECT label, word FROM matrices WHERE word IN (SELECT term FROM known)),
+marked AS (
+  SELECT t.*, n.parent, k.term IS NULL AS unknown,
+         t.label IS NOT NULL AND t.label <> 'pmod' AND o.word IS NULL AS matrixless
+  FROM tree t JOIN numbered n USING (rule_id, side, frag, node)
+  LEFT JOIN known k ON k.term = t.word
+  LEFT JOIN owned o ON o.label = t.label AND o.word = t.head),
+reach AS (
+  SELECT rule_id, side, frag, node, unknown AS bad FROM marked WHERE parent IS NULL
+  UNION ALL
+  SELECT m.rule_id, m.side, m.frag, m.node, m.unknown OR m.matrixless
+  FROM reach r JOIN marked m ON m.rule_id = r.rule_id AND m.side = r.side AND m.frag = r.frag
+   AND m.parent = r.node WHERE m.label <> 'pmod'),
+frags AS (
+  SELECT rule_id, side, frag, bool_or(bad) AS bad FROM reach GROUP BY 1, 2, 3)"""
+)
+
+ORACLES.update(
+    {
+        "compose_vectors": with_(
+            COMPOSED,
+            """SELECT rule_id, side, frag, CASE WHEN bad THEN 'zero' ELSE 'ok' END AS status,
+       CASE WHEN NOT bad THEN 1.0::DOUBLE END AS length FROM frags""",
+            recursive=True,
+        ),
+        "rule_status": with_(
+            COMPOSED
+            + """,
+rule_ids AS (
+  SELECT DISTINCT (doc_id * 1048576 + line_no // 4)::BIGINT AS rule_id FROM lines),
+sides AS (
+  SELECT rule_id, count(*) FILTER (side = 'L') AS l, count(*) FILTER (side = 'R') AS r,
+         count(*) FILTER (side = 'L' AND NOT bad) AS lu,
+         count(*) FILTER (side = 'R' AND NOT bad) AS ru
+  FROM frags GROUP BY 1)""",
+            """SELECT rule_id,
+  CASE WHEN coalesce(least(l, r), 0) = 0 THEN 'failed' WHEN least(lu, ru) = 0 THEN 'no_vector'
+       ELSE 'scored' END AS status,
+  coalesce(CASE WHEN least(l, r) > 0 THEN least(lu, ru) END, 0)::BIGINT AS n_matches
+FROM rule_ids LEFT JOIN sides USING (rule_id)""",
+            recursive=True,
+        ),
+    }
+)
