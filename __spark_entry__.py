@@ -96,7 +96,7 @@ def vocab_lex_index(spark, sf_dir):
 
 
 def vocab_freq_topk(spark, sf_dir):
-    return _tagged(spark, sf_dir).vocab
+    return vocab.frequency_vocab(word_counts(spark, sf_dir), VOCAB)
 
 
 def pairs_plain(spark, sf_dir):

@@ -17,36 +17,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def dense_by_key(entries: Column, n: Column) -> Column:
-    """Turn ``array<struct<key int, val>>`` into an array of length ``n``.
+    """Turn ``array<struct<key int, val int>>`` into an array of length ``n``.
 
-    Element ``k`` (1-based) holds the smallest ``val`` given for key ``k``, or NULL. Entries
-    and slots are sorted together, so a slot finds its value in the element after it. This
-    replaces map look-ups, which Spark scans linearly.
+    Element ``k`` (1-based) holds the smallest ``val`` given for key ``k``, or NULL; all keys lie
+    in 1..n. The sorted entries are laid out with NULLs filling the gaps. This replaces map
+    look-ups, which Spark scans linearly.
     """
-    slots = F.when(
-        n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: _slot(i, entries))
-    ).otherwise(F.filter(F.transform(entries, _entry), lambda _: F.lit(False)))
-    merged = F.array_sort(F.concat(slots, F.transform(entries, _entry)))
-    filled = let(
-        merged,
-        lambda m: F.transform(
-            m,
-            lambda x, k: F.struct(
-                x.kind.alias("kind"),
-                F.when(F.get(m, k + 1).key == x.key, F.get(m, k + 1).val).alias("val"),
-            ),
-        ),
-    )
-    return F.transform(F.filter(filled, lambda x: x.kind == 0), lambda x: x.val)
-
+    nothing = F.lit(None).cast("int")
 
-def _slot(i: Column, entries: Column) -> Column:
-    missing = F.when(F.lit(False), F.get(entries, F.lit(0)).val)
-    return F.struct(i.alias("key"), F.lit(0).alias("kind"), missing.alias("val"))
+    def before(v: Column, k: Column) -> Column:
+        return F.coalesce(F.get(v, k - 1).key, F.lit(0))
 
+    def lay_out(v: Column) -> Column:
+        pieces = F.transform(
+            v,
+            lambda x, k: F.concat(
+                F.array_repeat(nothing, x.key - 1 - before(v, k)), F.array(x.val.cast("int"))
+            ),
+        )
+        return F.concat(F.flatten(pieces), F.array_repeat(nothing, n - before(v, F.size(v))))
 
-def _entry(e: Column) -> Column:
-    return F.struct(e.key.alias("key"), F.lit(1).alias("kind"), e.val.alias("val"))
+    distinct = let(
+        F.array_sort(entries), lambda v: F.filter(v, lambda x, k: x.key != before(v, k))
+    )
+    return let(distinct, lay_out)
 
 
 def windows_with_halo(items: Column, own: int, halo: int) -> Column:

@@ -72,9 +72,14 @@ def _index(text: Column) -> Column:
     return F.when(text.rlike(r"^\d+$"), text.try_cast("int"))
 
 
+def tag_class(tag: Column) -> Column:
+    """First two lower-cased characters of a tag."""
+    return F.substring(F.lower(tag), 1, 2)
+
+
 def valid_tag(tag: Column) -> Column:
-    """First two lower-cased characters of a tag when they name a valid class, else NULL."""
-    head = F.substring(F.lower(tag), 1, 2)
+    """The tag's class when it is a valid one, else NULL."""
+    head = tag_class(tag)
     return F.when(head.isin(*VALID_TAGS), head)
 
 

@@ -70,6 +70,9 @@ def tagged_words(
     vocab_size: int = vocab.VOCAB_SIZE,
     dim: int = vocab.VOCAB_SIZE,
 ) -> TaggedWords:
-    """``dim`` is clamped to the vocabulary size."""
+    """``dim`` is clamped to the vocabulary size. The parsed corpus is written once, by column:
+    counts, totals, pairs and the phrase job each read it again.
+    """
+    parsed = cut_lineage(parsed)
     words = vocab.frequency_vocab(vocab.tagged_word_counts(parsed), vocab_size)
     return TaggedWords(parsed, cut_lineage(words), min(dim, vocab_size), window)

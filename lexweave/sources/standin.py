@@ -76,22 +76,31 @@ def _edges_at(all_tags: Column, distance: int) -> Column:
 
 def _head(all_tags: Column, tag: Column, i: Column) -> Column:
     """Governor (1-based, 0 for a root) and relation of the token at 0-based ``i``."""
-    choices = [
-        ("jj", ("nn",), range(1, 4), "amod"),
-        ("jj", ("vb",), range(-1, -4, -1), "acomp"),
-        ("nn", ("in",), range(-1, -4, -1), "pobj"),
-        ("nn", ("vb",), range(-1, -5, -1), "dobj"),
-        ("nn", ("vb",), range(1, 5), "nsubj"),
-        ("in", ("nn", "vb"), range(-1, -4, -1), "prep"),
-    ]
-    head = F.when(F.lit(False), F.struct(F.lit(0).alias("gov"), F.lit("root").alias("rel")))
-    for own, governors, offsets, rel in choices:
-        for offset in offsets:
-            hit = (tag == own) & F.get(all_tags, i + offset).isin(*governors)
-            head = head.when(
-                hit, F.struct((i + offset + 1).alias("gov"), F.lit(rel).alias("rel"))
-            )
-    return head.otherwise(F.struct(F.lit(0).alias("gov"), F.lit("root").alias("rel")))
+    choices = {
+        "jj": [(("nn",), range(1, 4), "amod"), (("vb",), range(-1, -4, -1), "acomp")],
+        "nn": [
+            (("in",), range(-1, -4, -1), "pobj"),
+            (("vb",), range(-1, -5, -1), "dobj"),
+            (("vb",), range(1, 5), "nsubj"),
+        ],
+        "in": [(("nn", "vb"), range(-1, -4, -1), "prep")],
+    }
+
+    def head(gov: Column, rel: str) -> Column:
+        return F.struct(gov.alias("gov"), F.lit(rel).alias("rel"))
+
+    root = head(F.lit(0), "root")
+    by_tag = None
+    for own, rules in choices.items():
+        near = None
+        for governors, offsets, rel in rules:
+            for offset in offsets:
+                hit = F.get(all_tags, i + offset).isin(*governors)
+                value = head(i + offset + 1, rel)
+                near = F.when(hit, value) if near is None else near.when(hit, value)
+        found = near.otherwise(root)
+        by_tag = F.when(tag == own, found) if by_tag is None else by_tag.when(tag == own, found)
+    return by_tag.otherwise(root)
 
 
 def headed(lines: DataFrame) -> DataFrame:
