@@ -28,7 +28,7 @@ from lexweave.plans.phrases import build_phrases  # noqa: E402
 from lexweave.plans.train import build_space, phrase_space, train  # noqa: E402
 from lexweave.plans.words import plain_words, tagged_words  # noqa: E402
 from lexweave.session import cut_lineage  # noqa: E402
-from lexweave.sources import corpus, standin  # noqa: E402
+from lexweave.sources import corpus, standin, text_formats  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCAB, DIM, SMALL = oracles.VOCAB, oracles.DIM, oracles.SMALL
@@ -243,7 +243,7 @@ def phrase_vectors(spark, sf_dir):
     built = build_phrases(words, min_count=5)
     modifiers = ridge.oriented(built.vocab).select("label", "idx", "word")
     word_vecs = space.word_vectors.select(F.col("term").alias("word"), F.col("vec").alias("m"))
-    rows = phrase_space(built, space).join(modifiers, ["label", "idx"]).join(word_vecs, "word")
+    rows = phrase_space(built.ppmi(), space).join(modifiers, ["label", "idx"]).join(word_vecs, "word")
     return _rounded(
         rows.select(
             "label",
@@ -258,7 +258,8 @@ def phrase_vectors(spark, sf_dir):
 
 def _trained(spark, sf_dir):
     words, space = _space(spark, sf_dir)
-    return train(build_phrases(words, min_count=5), space, min_phrases=3)
+    built = build_phrases(words, min_count=5)
+    return train(built.vocab, built.ppmi(), space, ridge.training_list(built.vocab, 3))
 
 
 def train_samples(spark, sf_dir):
@@ -394,6 +395,41 @@ def rule_scores(spark, sf_dir):
     )
 
 
+def counts_reloaded(spark, sf_dir):
+    lines = text_formats.format_counts(word_counts(spark, sf_dir))
+    return vocab.frequency_vocab(text_formats.parse_counts(lines), VOCAB)
+
+
+def triplets_reloaded(spark, sf_dir):
+    lines = text_formats.format_triplets(_tagged(spark, sf_dir).ppmi())
+    return matrix.load_matrix(text_formats.parse_triplets(lines))
+
+
+def matrix_ppmi(spark, sf_dir):
+    return _rounded(matrix.load_matrix(_tagged(spark, sf_dir).ppmi(), "ppmi"), "val")
+
+
+def training_list(spark, sf_dir):
+    built = build_phrases(_tagged(spark, sf_dir), min_count=5)
+    listed = ridge.training_list(built.vocab, 3)
+    lines = listed.select("label", F.concat("word", F.lit("\t"), "label").alias("value"))
+    return lines.select("label", text_formats.first_field(F.col("value")).alias("word"))
+
+
+def rule_table(spark, sf_dir):
+    """Tab-separated rule lines built from the documents, read back by position."""
+    sides = standin.rule_phrases(corpus.documents(spark, sf_dir))
+    both = sides.groupBy("rule_id").pivot("side", ["L", "R"]).agg(F.first("phrase"))
+    name = F.concat(F.lit("["), F.col("rule_id").cast("string"), F.lit("]"))
+    blank = [F.lit("")] * 6
+    line = F.concat_ws("\t", name, "L", "R", *blank, F.upper("L"), F.upper("R"))
+    fields = both.select("rule_id", F.split(line, "\t").alias("f"))
+    read = text_formats.rule_columns(fields)
+    places = trees.phrase_indices(read.where(F.col("phrase") != ""))
+    counted = places.select("rule_id", "side", F.posexplode("places").alias("ord", "place"))
+    return counted.join(read.select("rule_id", "side", "rule"), ["rule_id", "side"])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Plain word PPMI over the documents, strongest pairs first."""
     job = plain_words(_lines(spark, "/root/testdata/sf0.001"))
@@ -444,6 +480,11 @@ QUERIES: tuple[Query, ...] = (
     compose_vectors,
     rule_status,
     rule_scores,
+    counts_reloaded,
+    triplets_reloaded,
+    matrix_ppmi,
+    training_list,
+    rule_table,
 )
 
 

@@ -687,3 +687,27 @@ FROM rule_ids LEFT JOIN sides USING (rule_id)""",
         ),
     }
 )
+
+ORACLES.update(
+    {
+        "counts_reloaded": with_(TAGGED_VOCAB, "SELECT term, cnt, idx FROM vocab"),
+        "triplets_reloaded": with_(word_matrix(DIM), 'SELECT "row", col, val FROM mat'),
+        "matrix_ppmi": with_(
+            word_matrix(DIM),
+            'SELECT "row", col, round(sum(val), 6) AS val FROM coo GROUP BY 1, 2',
+        ),
+        "training_list": with_(
+            PHRASE_SPACE,
+            "SELECT label, word FROM oriented GROUP BY 1, 2 HAVING count(*) >= 3",
+        ),
+        "rule_table": with_(
+            SENTENCES
+            + """,
+places AS (
+  SELECT *, row_number() OVER (PARTITION BY rule_id, side ORDER BY sent_no, idx) AS place
+  FROM ranked)""",
+            """SELECT rule_id, side, rule_id::VARCHAR AS rule, o::INT AS ord, place::INT AS place
+FROM places WHERE t <> 'dt'""",
+        ),
+    }
+)
