@@ -84,7 +84,7 @@ def corpus_totals(spark, sf_dir):
     return (
         kind(vocab.plain_total(plain.tokens), "plain_words")
         .unionByName(kind(vocab.tagged_total(parsed), "tagged_words"))
-        .unionByName(kind(cooc.pair_total(plain.index_pairs()), "plain_pairs"))
+        .unionByName(kind(cooc.plain_pair_total(plain.sequences()), "plain_pairs"))
         .unionByName(kind(cooc.tagged_pair_total(parsed), "tagged_pairs"))
         .unionByName(by_label(phrases.phrase_totals(with_contexts), "phrases"))
         .unionByName(by_label(phrases.context_totals(with_contexts), "contexts"))

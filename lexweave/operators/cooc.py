@@ -141,11 +141,16 @@ def plain_sequences(
     return short.unionByName(long)
 
 
+def _owned(size: Column, own: Column, distance: int) -> Column:
+    """Pairs at a distance whose left element belongs to the piece."""
+    return F.greatest(F.least(size - distance, own), F.lit(0))
+
+
 def plain_index_pair_counts(sequences: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(a, b, n)`` with a <= b; index order is term order for a lexicographic vocabulary."""
     pairs = []
     for d in range(1, window + 1):
-        count = F.greatest(F.least(F.size("items") - d, F.col("own")), F.lit(0))
+        count = _owned(F.size("items"), F.col("own"), d)
         pairs.append(
             F.arrays_zip(
                 F.slice("items", F.lit(1), count).alias("a"),
@@ -155,8 +160,12 @@ def plain_index_pair_counts(sequences: DataFrame, window: int = WINDOW) -> DataF
     return _count(_ordered(sequences.select(F.inline(F.concat(*pairs)).alias("a", "b"))))
 
 
-def pair_total(pair_counts: DataFrame) -> DataFrame:
-    return pair_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+def plain_pair_total(sequences: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Number of pairs of the encoded corpus, by arithmetic on the piece sizes."""
+    volume = F.lit(0).cast("bigint")
+    for d in range(1, window + 1):
+        volume = volume + _owned(F.size("items"), F.col("own"), d)
+    return sequences.agg(F.coalesce(F.sum(volume), F.lit(0)).alias("total"))
 
 
 def spell_pairs(

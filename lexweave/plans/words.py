@@ -25,12 +25,12 @@ class PlainWords:
         return cooc.plain_index_pair_counts(self.sequences(), self.window)
 
     def ppmi(self) -> DataFrame:
-        pairs = self.index_pairs()
+        sequences = self.sequences()
         return ppmi.plain_word_ppmi(
-            pairs,
+            cooc.plain_index_pair_counts(sequences, self.window),
             self.vocab,
             vocab.plain_total(self.tokens).scalar(),
-            cooc.pair_total(pairs).scalar(),
+            cooc.plain_pair_total(sequences, self.window).scalar(),
         )
 
 
