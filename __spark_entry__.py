@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession, Window  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import entry_oracles as oracles  # noqa: E402
@@ -50,8 +50,14 @@ def _tagged(spark: SparkSession, sf_dir: str, dim: int = DIM):
     return tagged_words(_parsed(spark, sf_dir), vocab_size=VOCAB, dim=dim)
 
 
+def _round(value: str | Column, places: int = 6) -> Column:
+    """Rounded, with negative zero as zero."""
+    rounded = F.round(value, places)
+    return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: _round(n) for n in names})
 
 
 def tokens_plain(spark, sf_dir):
@@ -268,8 +274,8 @@ def train_samples(spark, sf_dir):
         "label",
         "word",
         "arg",
-        F.round(vectors.dot(F.col("p"), F.col("p")), 5).alias("p_norm2"),
-        F.round(vectors.dot(F.col("p"), F.col("a")), 5).alias("p_along_a"),
+        _round(vectors.dot(F.col("p"), F.col("p")), 5).alias("p_norm2"),
+        _round(vectors.dot(F.col("p"), F.col("a")), 5).alias("p_along_a"),
     )
 
 
@@ -286,7 +292,7 @@ def _planar_samples(spark, sf_dir):
 def ridge_modifiers(spark, sf_dir):
     fits = ridge.ridge_fits(_planar_samples(spark, sf_dir), ["label"], ["vec_id"])
     cells = {
-        f"m{i + 1}{j + 1}": F.round(F.get(F.get("mat", F.lit(i)), F.lit(j)), 6)
+        f"m{i + 1}{j + 1}": _round(F.get(F.get("mat", F.lit(i)), F.lit(j)))
         for i in range(2)
         for j in range(2)
     }

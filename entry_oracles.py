@@ -711,3 +711,20 @@ FROM places WHERE t <> 'dt'""",
         ),
     }
 )
+
+
+def _no_negative_zero(statement: str, columns: tuple[str, ...]) -> str:
+    fixed = ", ".join(f"CASE WHEN {c} = 0 THEN 0.0::DOUBLE ELSE {c} END AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({fixed}) FROM ({statement})"
+
+
+# Signed values may round to negative zero, which hashes differently from zero.
+SIGNED = {
+    "dense_cosine": ("cosine",),
+    "normalise_vectors": ("val",),
+    "word_cosine": ("cosine",),
+    "train_samples": ("p_norm2", "p_along_a"),
+    "ridge_modifiers": ("m11", "m12", "m21", "m22"),
+}
+for _name, _columns in SIGNED.items():
+    ORACLES[_name] = _no_negative_zero(ORACLES[_name], _columns)
