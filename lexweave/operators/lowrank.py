@@ -1,13 +1,13 @@
 """Randomized low-rank factorisation of a sparse coordinate matrix, and dense projections.
 
 Tall factors stay DataFrames ``(idx, vec)``. Only rank-by-rank matrices reach the driver. A
-factor is sent to the workers in row blocks of bounded size, and a sparse row meets it in
-segments of bounded length.
+sparse row is cut into segments of bounded length, and each segment meets the few factor rows
+it needs in a co-grouped product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from lexweave.functions.tokens import PHRASE_LABELS
 from lexweave.functions.vectors import normalise
 from lexweave.operators.matrix import SEGMENT, segments
+from lexweave.scale import ROWS_PER_SALT, add_salt, hot_keys, replicate
 from lexweave.session import cut_lineage
 
 # Fixed value: a column whose residual falls below this is dropped, with all later ones.
 RESIDUAL_EPS = 1e-4
-# Rows of a factor that travel in one broadcast are limited to this many bytes.
-FACTOR_BLOCK_BYTES = 256 << 20
 
 VECTOR_SCHEMA = "idx bigint, vec array<double>"
 
@@ -58,84 +57,84 @@ def sum_vectors(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(vector_to_array(total).alias("vec"))
 
 
-def _products(rows: DataFrame, width: int, block_of) -> DataFrame:
-    """Partial products: each sparse segment times its rows of a factor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entries = batch.column("entries")
-            starts = entries.offsets.to_numpy()
-            cells = entries.values
-            inner = cells.field("inner").to_numpy(zero_copy_only=False)
-            weight = cells.field("val").to_numpy(zero_copy_only=False)
-            pieces = batch.column("segment").to_numpy(zero_copy_only=False)
-            out = np.empty((batch.num_rows, width))
-            for i, piece in enumerate(pieces):
-                lo, hi = starts[i], starts[i + 1]
-                block, first = block_of(int(piece))
-                out[i] = weight[lo:hi] @ block[inner[lo:hi] - first]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("idx"), lists_of(out)], names=["idx", "vec"]
-            )
+def _segment_products(
+    entries: pa.ListArray, width: int, blocks: Callable[[int], tuple[np.ndarray, int]]
+) -> np.ndarray:
+    """One row per sparse segment: its weights times the block rows they name.
 
-    return rows.mapInArrow(run, VECTOR_SCHEMA)
+    ``blocks(i)`` gives the block of the i-th segment and the index of its first row.
+    """
+    starts = entries.offsets.to_numpy()
+    cells = entries.values
+    inner = cells.field("inner").to_numpy(zero_copy_only=False)
+    weight = cells.field("val").to_numpy(zero_copy_only=False)
+    out = np.empty((len(entries), width))
+    for i in range(len(entries)):
+        lo, hi = starts[i], starts[i + 1]
+        block, first = blocks(i)
+        out[i] = weight[lo:hi] @ block[inner[lo:hi] - first]
+    return out
 
 
 def times_gaussian(rows: DataFrame, width: int, seed: int) -> DataFrame:
     """Sparse rows times a gaussian matrix that every worker derives from the seed."""
-    cache: dict[int, np.ndarray] = {}
 
-    def block_of(piece: int) -> tuple[np.ndarray, int]:
-        if piece not in cache:
-            if len(cache) >= 64:
-                cache.clear()
-            rng = np.random.default_rng([seed, piece])
-            cache[piece] = rng.standard_normal((SEGMENT, width))
-        return cache[piece], piece * SEGMENT
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[int, np.ndarray] = {}
 
-    return sum_vectors(_products(rows, width, block_of), "idx")
+        def block(piece: int) -> np.ndarray:
+            if piece not in cache:
+                if len(cache) >= 64:
+                    cache.clear()
+                rng = np.random.default_rng([seed, piece])
+                cache[piece] = rng.standard_normal((SEGMENT, width))
+            return cache[piece]
+
+        for batch in batches:
+            pieces = batch.column("segment").to_pylist()
+            out = _segment_products(
+                batch.column("entries"), width, lambda i: (block(pieces[i]), pieces[i] * SEGMENT)
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("idx"), lists_of(out)], names=["idx", "vec"]
+            )
+
+    return sum_vectors(rows.mapInArrow(run, VECTOR_SCHEMA), "idx")
 
 
 def times_factor(rows: DataFrame, factor: DataFrame, width: int) -> DataFrame:
     """Sparse rows ``(idx, segment, entries)`` times a factor ``(idx, vec)``, as ``(idx, vec)``.
 
-    The factor goes out in row blocks of at most ``FACTOR_BLOCK_BYTES``, whole segments each, so
-    its height is not limited by one broadcast. Rows a factor lacks count as zero.
+    Sparse segments and factor rows are co-grouped by segment number; a segment number shared
+    by many sparse rows is salted and only its own factor rows are repeated. Rows a factor
+    lacks count as zero.
     """
-    context = factor.sparkSession.sparkContext
-    top = factor.agg(F.max("idx")).first()[0]
-    per_block = max(1, FACTOR_BLOCK_BYTES // (8 * max(width, 1) * SEGMENT))
-    n_segments = 0 if top is None else top // SEGMENT + 1
-    parts = []
-    for first in range(0, max(n_segments, 1), per_block):
-        last = min(first + per_block, max(n_segments, 1))
-        lo, hi = first * SEGMENT, last * SEGMENT
-        shared = context.broadcast(_dense_block(factor, lo, hi, width))
-
-        def block_of(_piece: int, shared=shared, lo=lo) -> tuple[np.ndarray, int]:
-            return shared.value, lo
-
-        wanted = rows
-        if n_segments > per_block or first > 0:
-            wanted = rows.where((F.col("segment") >= first) & (F.col("segment") < last))
-        else:
-            wanted = rows.where(F.col("segment") < last)
-        parts.append(_products(wanted, width, block_of))
-    products = parts[0]
-    for part in parts[1:]:
-        products = products.unionByName(part)
+    rows = cut_lineage(rows)
+    hot = cut_lineage(hot_keys(rows, ["segment"], ROWS_PER_SALT))
+    left = add_salt(rows, hot, ["segment"], ["idx"])
+    number = F.floor(F.col("idx") / SEGMENT).cast("bigint")
+    right = replicate(factor.select(number.alias("segment"), "idx", "vec"), hot, ["segment"])
+
+    def multiply(sparse: pa.Table, block: pa.Table) -> pa.Table:
+        if not sparse.num_rows:
+            return pa.table({"idx": pa.array([], pa.int64()), "vec": lists_of(np.zeros((0, width)))})
+        sparse = sparse.combine_chunks()
+        first = sparse.column("segment")[0].as_py() * SEGMENT
+        local = np.zeros((SEGMENT, width))
+        if block.num_rows:
+            at = block.column("idx").to_numpy() - first
+            local[at] = vectors_of(block.column("vec").combine_chunks())
+        entries = sparse.column("entries").combine_chunks()
+        out = _segment_products(entries, width, lambda _i: (local, first))
+        return pa.table({"idx": sparse.column("idx"), "vec": lists_of(out)})
+
+    group = ["segment", "_salt"]
+    products = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(
+        multiply, VECTOR_SCHEMA
+    )
     return sum_vectors(products, "idx")
 
 
-def _dense_block(factor: DataFrame, lo: int, hi: int, width: int) -> np.ndarray:
-    block = np.zeros((hi - lo, width))
-    table = factor.where((F.col("idx") >= lo) & (F.col("idx") < hi)).select("idx", "vec").toArrow()
-    for batch in table.to_batches():
-        if batch.num_rows:
-            block[batch.column("idx").to_numpy() - lo] = vectors_of(batch.column("vec"))
-    return block
-
-
 def times_small(df: DataFrame, right: np.ndarray) -> DataFrame:
     """Every ``vec`` times a small matrix."""
 

@@ -49,7 +49,7 @@ def test_svd_drops_to_exact_rank(spark):
 
 
 def test_truncated_basis_and_word_vectors(spark, monkeypatch):
-    monkeypatch.setattr(lowrank, "FACTOR_BLOCK_BYTES", 1)
+    monkeypatch.setattr(lowrank, "ROWS_PER_SALT", 3)
     rng = np.random.default_rng(8)
     full = (rng.random((2500, 12)) < 0.2).astype(float)
     full[:, 4] = 0.0
