@@ -71,14 +71,13 @@ def phrase_ppmi(
     phrase_vocab: DataFrame,
     vocab: DataFrame,
     word_total: Column,
-    phrase_totals: DataFrame,
-    context_totals: DataFrame,
+    totals: DataFrame,
     dim: int,
 ) -> DataFrame:
     """``(label, col, row, val)``: kept phrases are columns, words below ``dim`` are rows.
 
-    ``context_counts`` is keyed by ``(label, w1, w2, ctx)`` with ``ctx`` a vocabulary index; the
-    per-label totals have one row for each of the five labels.
+    ``context_counts`` is keyed by ``(label, w1, w2, ctx)`` with ``ctx`` a vocabulary index;
+    ``totals`` is ``(label, p_total, c_total)``, one row for each of the five labels.
     """
     kept = phrase_vocab.select(
         "label", "w1", "w2", F.col("idx").alias("col"), F.col("cnt").alias("p_cnt")
@@ -86,9 +85,6 @@ def phrase_ppmi(
     words = vocab.where(F.col("idx") < dim).select(
         F.col("idx").alias("ctx"), F.col("cnt").alias("w_cnt")
     )
-    totals = phrase_totals.withColumnRenamed("total", "p_total").join(
-        context_totals.withColumnRenamed("total", "c_total"), "label"
-    )
     counted = lookup_join(
         context_counts.where(F.col("ctx") < dim), words, ["ctx"], ["label", "w1", "w2"]
     )
