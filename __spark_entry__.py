@@ -494,9 +494,29 @@ QUERIES: tuple[Query, ...] = (
 )
 
 
+def _training_data():
+    """The module of the training-data queries, or None where that subpackage is not installed."""
+    try:
+        import corpus_pipeline
+        from lexweave.llm import queries as llm_queries
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "lexweave.llm", "lexweave.llm.queries"):
+            raise
+        return None
+    return llm_queries, corpus_pipeline
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in QUERIES}
+    found = {q.__name__: q for q in QUERIES}
+    if parts := _training_data():
+        found |= {q.__name__: q for q in parts[0].QUERIES} | {"pipeline": parts[1].run}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.ORACLES)
+    found = dict(oracles.ORACLES)
+    if parts := _training_data():
+        found |= parts[0].ORACLES
+        if parts[1].ORACLE_SQL:
+            found["pipeline"] = parts[1].ORACLE_SQL
+    return found
