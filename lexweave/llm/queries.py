@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import sharding
+from lexweave.llm import sharding, simhash
 from lexweave.llm.common import documents
 
 N_SHARDS = 40
@@ -15,6 +15,12 @@ def op1_hash_tree_shards(spark, sf_dir):
     return placed.withColumn("law", F.lit("key"))
 
 
-QUERIES = (op1_hash_tree_shards,)
+def op5_simhash_components(spark, sf_dir):
+    found = simhash.assign(documents(spark, sf_dir).select("doc_id", "text"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+QUERIES = (op1_hash_tree_shards, op5_simhash_components)
 
 ORACLES: dict[str, str] = {}
