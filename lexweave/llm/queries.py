@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import sharding, simhash
+from lexweave.llm import decontam, sharding, simhash
 from lexweave.llm.common import documents
 
 N_SHARDS = 40
@@ -21,6 +21,13 @@ def op5_simhash_components(spark, sf_dir):
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-QUERIES = (op1_hash_tree_shards, op5_simhash_components)
+def op6_prefix_join_decontamination(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontam.hits(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontam.digest(found).select(*columns)
+
+
+QUERIES = (op1_hash_tree_shards, op5_simhash_components, op6_prefix_join_decontamination)
 
 ORACLES: dict[str, str] = {}
