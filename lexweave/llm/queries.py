@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import decontam, sharding, simhash
+from lexweave.llm import decontam, packing, sharding, simhash
 from lexweave.llm.common import documents
 
 N_SHARDS = 40
@@ -15,6 +15,10 @@ def op1_hash_tree_shards(spark, sf_dir):
     return placed.withColumn("law", F.lit("key"))
 
 
+def op4_vector_best_fit(spark, sf_dir):
+    return packing.pack(packing.cut(documents(spark, sf_dir)))
+
+
 def op5_simhash_components(spark, sf_dir):
     found = simhash.assign(documents(spark, sf_dir).select("doc_id", "text"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -28,6 +32,6 @@ def op6_prefix_join_decontamination(spark, sf_dir):
     return decontam.digest(found).select(*columns)
 
 
-QUERIES = (op1_hash_tree_shards, op5_simhash_components, op6_prefix_join_decontamination)
+QUERIES = (op1_hash_tree_shards, op4_vector_best_fit, op5_simhash_components, op6_prefix_join_decontamination)
 
 ORACLES: dict[str, str] = {}
