@@ -42,18 +42,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return content, places
 
 
-def pieces(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each has about ``PIECE_BYTES`` of text, or one long text."""
+def pieces(batches: Iterator[pa.RecordBatch], n_bytes: int = PIECE_BYTES, at: int = -1) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that column ``at`` has about ``n_bytes`` of text in each, or one long text."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        _, places = utf8(batch.column(batch.schema.get_field_index(name)))
-        at = 0
-        while at < batch.num_rows:
-            end = int(np.searchsorted(places, places[at] + PIECE_BYTES, "right")) - 1
-            end = min(max(end, at + 1), batch.num_rows)
-            yield batch.slice(at, end - at)
-            at = end
+        _, places = utf8(batch.column(at % batch.num_columns))
+        begin = 0
+        while begin < batch.num_rows:
+            end = int(np.searchsorted(places, places[begin] + n_bytes, "right")) - 1
+            end = min(max(end, begin + 1), batch.num_rows)
+            yield batch.slice(begin, end - begin)
+            begin = end
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import decontam, packing, pii, sharding, simhash
+from lexweave.llm import decontam, packing, pii, quality, sharding, simhash
 from lexweave.llm.common import documents
 
 N_SHARDS = 40
@@ -15,6 +15,13 @@ def op1_hash_tree_shards(spark, sf_dir):
     return placed.withColumn("law", F.lit("key"))
 
 
+def op2_line_crf_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    field = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = quality.score(docs, field).withColumn("held_out", quality.held_out())
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_vector_best_fit(spark, sf_dir):
     return packing.pack(packing.cut(documents(spark, sf_dir)))
 
@@ -36,6 +43,6 @@ def op9_bootstrapped_contexts(spark, sf_dir):
     return pii.digest(pii.detect(documents(spark, sf_dir).select("doc_id", "text")))
 
 
-QUERIES = (op1_hash_tree_shards, op4_vector_best_fit, op5_simhash_components, op6_prefix_join_decontamination, op9_bootstrapped_contexts)
+QUERIES = (op1_hash_tree_shards, op2_line_crf_quality, op4_vector_best_fit, op5_simhash_components, op6_prefix_join_decontamination, op9_bootstrapped_contexts)
 
 ORACLES: dict[str, str] = {}
