@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import decontam, packing, pii, quality, sharding, simhash
+from lexweave.llm import decontam, katz, packing, pii, quality, sharding, simhash
 from lexweave.llm.common import documents
 
 N_SHARDS = 40
@@ -39,10 +39,14 @@ def op6_prefix_join_decontamination(spark, sf_dir):
     return decontam.digest(found).select(*columns)
 
 
+def op8_katz_backoff(spark, sf_dir):
+    return katz.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_bootstrapped_contexts(spark, sf_dir):
     return pii.digest(pii.detect(documents(spark, sf_dir).select("doc_id", "text")))
 
 
-QUERIES = (op1_hash_tree_shards, op2_line_crf_quality, op4_vector_best_fit, op5_simhash_components, op6_prefix_join_decontamination, op9_bootstrapped_contexts)
+QUERIES = (op1_hash_tree_shards, op2_line_crf_quality, op4_vector_best_fit, op5_simhash_components, op6_prefix_join_decontamination, op8_katz_backoff, op9_bootstrapped_contexts)
 
 ORACLES: dict[str, str] = {}
