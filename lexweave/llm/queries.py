@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import decontam, katz, packing, pii, quality, sharding, simhash
+from lexweave.llm import decontam, katz, packing, pii, quality, sharding, simhash, topk
 from lexweave.llm.common import documents
 
 N_SHARDS = 40
@@ -39,6 +39,10 @@ def op6_prefix_join_decontamination(spark, sf_dir):
     return decontam.digest(found).select(*columns)
 
 
+def op7_norm_sorted_topk(spark, sf_dir):
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
 def op8_katz_backoff(spark, sf_dir):
     return katz.score(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -47,6 +51,6 @@ def op9_bootstrapped_contexts(spark, sf_dir):
     return pii.digest(pii.detect(documents(spark, sf_dir).select("doc_id", "text")))
 
 
-QUERIES = (op1_hash_tree_shards, op2_line_crf_quality, op4_vector_best_fit, op5_simhash_components, op6_prefix_join_decontamination, op8_katz_backoff, op9_bootstrapped_contexts)
+QUERIES = (op1_hash_tree_shards, op2_line_crf_quality, op4_vector_best_fit, op5_simhash_components, op6_prefix_join_decontamination, op7_norm_sorted_topk, op8_katz_backoff, op9_bootstrapped_contexts)
 
 ORACLES: dict[str, str] = {}
