@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import decontam, katz, packing, pii, quality, sharding, simhash, topk
+from lexweave.llm import decontam, katz, packing, pii, quality, sharding, simhash, topk, toxicity
 from lexweave.llm.common import documents
 
 N_SHARDS = 40
@@ -51,6 +51,16 @@ def op9_bootstrapped_contexts(spark, sf_dir):
     return pii.digest(pii.detect(documents(spark, sf_dir).select("doc_id", "text")))
 
 
-QUERIES = (op1_hash_tree_shards, op2_line_crf_quality, op4_vector_best_fit, op5_simhash_components, op6_prefix_join_decontamination, op7_norm_sorted_topk, op8_katz_backoff, op9_bootstrapped_contexts)
+def op10_toxicity_chain(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("junk", (F.col("quality") == 0).cast("int"))
+    categories = ("junk", "toxic")
+    chain = toxicity.train(docs, labels, categories)
+    found = toxicity.score(docs, chain, categories).withColumn("held_out", quality.held_out())
+    toxic = (F.col("p_toxic") >= 0.5).cast("int")
+    return found.select("doc_id", "held_out", "p_junk", F.col("p_toxic").alias("score"), toxic.alias("predicted"))
+
+
+QUERIES = (op1_hash_tree_shards, op2_line_crf_quality, op4_vector_best_fit, op5_simhash_components, op6_prefix_join_decontamination, op7_norm_sorted_topk, op8_katz_backoff, op9_bootstrapped_contexts, op10_toxicity_chain)
 
 ORACLES: dict[str, str] = {}
