@@ -251,3 +251,12 @@ def digest(found: DataFrame) -> DataFrame:
     items = F.sha2(F.concat_ws(",", F.sort_array("items")), 256)
     contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
     return counted.withColumns({"items_sha256": items, "contaminated": contaminated})
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The whole rows of ``docs`` that are not contaminated."""
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    found = digest(hits(docs.select("doc_id", "text").withColumn("_hash", F.xxhash64("text")), benchmark))
+    dirty = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_text")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
+    return hashed.join(cut_lineage(dirty), same, "left_anti").select(*docs.columns)
