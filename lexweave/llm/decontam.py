@@ -228,7 +228,8 @@ def _covered(spans: str) -> Column:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``n_words``, ``spans`` (starts and ends) and ``items`` beside all columns of ``docs`` but ``text``."""
+    """``doc_id``, a hash ``_text``, ``n_words``, ``spans`` (starts and ends) and ``items`` of every row."""
+    docs = docs.select("doc_id", "text")
     found = None
     for items in _blocks(benchmark, block_bytes):
         block = Block(items, window)
@@ -242,7 +243,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t"))
         both = [F.concat(a, F.coalesce(b, F.array())).alias(a) for a, b in (("spans", "_s"), ("items", "_i"))]
         found = cut_lineage(found.join(more, same, "left").select(*others, *both))
-    return found.drop("_text").withColumn("items", F.array_distinct("items"))
+    return found.withColumn("items", F.array_distinct("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -255,8 +256,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The whole rows of ``docs`` that are not contaminated."""
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    found = digest(hits(docs.select("doc_id", "text").withColumn("_hash", F.xxhash64("text")), benchmark))
-    dirty = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_text")).distinct()
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    dirty = digest(hits(docs, benchmark)).where("contaminated").select(F.col("doc_id").alias("_id"), "_text").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
-    return hashed.join(cut_lineage(dirty), same, "left_anti").select(*docs.columns)
+    return hashed.join(cut_lineage(dirty), same, "left_anti").select("_row.*")

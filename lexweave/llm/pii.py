@@ -195,8 +195,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one."""
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
     touched = F.coalesce(F.col("text").rlike(HAS_CANDIDATES), F.lit(False))
+    hashed = docs.where(touched).select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
     spans = text_spans(docs.select("doc_id", "text"), rounds)
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -212,6 +212,6 @@ def redact(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         return F.concat(F.array_join(done["parts"], ""), F.substring("text", (done["at"] + 1).cast("int"), F.length("text")))
 
     changed = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate(ordered, empty, cover, finish))
-    joined = hashed.where(touched).join(spans, same, "left")
-    columns = [changed.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    joined = hashed.join(spans, same, "left")
+    columns = [changed.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
     return joined.select(*columns).unionByName(docs.where(~touched))

@@ -278,9 +278,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
-    """All columns of ``docs`` but ``text``, and a double ``score`` of the whole text."""
-    others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*others, "text")
+    """``doc_id`` and a double ``score`` of the whole text."""
+    others = ["doc_id"]
+    rows = docs.select("doc_id", "text")
     schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(field.weights)
 

@@ -17,7 +17,7 @@ a row; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -214,9 +214,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def assign(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` but ``text``, with ``fp`` and ``component_id``."""
-    found = cut_lineage(fingerprints(docs))
+def assign(docs: DataFrame, passed: Sequence[str] = ()) -> DataFrame:
+    """``doc_id`` and the columns ``passed``, with ``fp``, ``root`` and ``component_id``."""
+    found = cut_lineage(fingerprints(docs.select("doc_id", *passed, "text")))
     smallest = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("own")))
     roots = components(cut_lineage(links(smallest.select("fp"))))
     named = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
@@ -227,8 +227,8 @@ def assign(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each component one whole row: the smallest ``doc_id``, then the smallest text hash."""
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    found = assign(hashed.select("doc_id", "_hash", "text"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    found = assign(hashed.select("doc_id", "_hash", F.col("_row.text").alias("text")), ["_hash"])
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash")
     best = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._hash").alias("_text"))
     rows = found.groupBy("doc_id", "_hash").agg(F.count(F.lit(1)).alias("_rows"))
@@ -239,4 +239,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if not repeated.isEmpty():
         once = hashed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
         single = single.unionByName(once)
-    return single.select(*docs.columns)
+    return single.select("_row.*")

@@ -176,10 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample:
 
 
 def score(docs: DataFrame, chain: list[Model], categories: Sequence[str]) -> DataFrame:
-    """All columns of ``docs`` but ``text``, and ``p_<category>`` of each category."""
-    others = [c for c in docs.columns if c != "text"]
+    """``doc_id`` and ``p_<category>`` of each category."""
+    others = ["doc_id"]
     names = [f"p_{c}" for c in categories]
-    rows = docs.select(*others, "text")
+    rows = docs.select("doc_id", "text")
     schema = StructType([*rows.schema.fields[:-1], *[StructField(n, DoubleType()) for n in names]])
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 

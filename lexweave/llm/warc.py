@@ -14,8 +14,8 @@ earlier partitions is carried over by one row per partition and address.
 A null address matches only null addresses, a null time sorts first and ties go by record id; validators
 that are null or empty are absent, and without a common validator nothing is confirmed (``mismatch``).
 Null headers are an empty map. Responses pass with status ``full``; records of other kinds with null.
-Repeated rows each get a row; an empty table gives no rows; further columns are kept if their names do
-not begin with an underscore.
+Repeated rows each get a row; an empty table gives no rows. Further columns are kept, but for those named
+``canonical``, ``base_id`` or ``status``, whose place the result's take, and names with an underscore first.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def _validator(name: str) -> Column:
 
 def resolve(records: DataFrame) -> DataFrame:
     """``records`` with ``canonical``, ``base_id``, ``status``, merged ``headers`` and the base's ``payload``."""
-    columns = [c for c in records.columns if c not in ("headers", "payload")]
+    columns = [c for c in records.columns if c not in ("canonical", "base_id", "status", "headers", "payload")]
     order = ["canonical", "time", "record_id"]
     placed = records.withColumn("canonical", canonical_url("url")).withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>")))
     staged = cut_lineage(placed.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
