@@ -14,7 +14,7 @@ distinct n-grams with training counts to count partitions (by a hash of the cont
 up, write the table, and answer each chunk with the totals and its contexts' sums. A context with over
 ``SPLIT_COUNT`` occurrences is spread over partitions by a hash of the n-gram, its sums are added by a
 grouping and joined back. Every table is partitioned; the driver sees only counts of counts. What is
-sent grows with the distinct n-grams of the input. Words and n-grams are known by 64-bit hashes.
+sent grows with the distinct n-grams of the input. Words, and contexts of two or more, are known by 64-bit hashes.
 
 A null text is empty and holds only the end token; a null id counts as the empty text of an id.
 Repeated rows each train and get a row; an empty table gives no rows; other columns are ignored.
@@ -36,7 +36,8 @@ from lexweave.session import cut_lineage
 ORDER, LARGEST = 2, 5
 CHUNK_TOKENS, PART_TOKENS, SPLIT_COUNT = 1_500_000, 2_000_000, 500_000
 FOLDS, HELD_OUT = 7, 2
-END, BEGIN = np.uint64(1), np.uint64(2)
+# The end token's hash, and the number that stands before a text; words are numbered from 1.
+END, BEGIN = np.uint64(1), np.uint64(0)
 LOWER = ascii_lower()
 #: Per context: occurrences, continuations seen 1 to ``LARGEST`` times, summed lower probability.
 N_SUMS = LARGEST + 2
@@ -163,43 +164,68 @@ class Texts:
 
     def __init__(self, row: dict, n_parts: int):
         self.n_parts = n_parts
-        self.sizes, words, number = (unpacked(row[c]) for c in ("sizes", "words", "tokens"))
-        self.ids, self.held = row["ids"], np.array(row["held"], np.bool_)
+        self.sizes, self.number = unpacked(row["sizes"]), unpacked(row["tokens"])
+        self.held = np.array(row["held"], np.bool_)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        self.token = words[number]
         self.train = np.repeat(~self.held, self.sizes)
-        place = np.arange(len(self.token)) - np.repeat(self.begin, self.sizes)
         # Context of each token at each level: level 1 has none, level n the n - 1 tokens before.
-        self.place, self.context = place, np.zeros(len(self.token), np.uint64)
-        self.level = 0
-        self.context_count = None
-
-    def next_level(self) -> None:
+        self.place = np.arange(len(self.number)) - np.repeat(self.begin, self.sizes)
+        self.context = np.zeros(len(self.number), np.uint64)
+        self.level = 1
+
+    def words_sent(self, chunk: int, words: np.ndarray) -> Iterator[tuple]:
+        """Sorted distinct words with training counts; a partition takes a range of hashes."""
+        counts = np.bincount(self.number[self.train], minlength=len(words)).astype(np.uint32)
+        part = (words >> np.uint64(32)) * np.uint64(self.n_parts) >> np.uint64(32)
+        edges = np.searchsorted(part, np.arange(self.n_parts + 1))
+        for at, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if b > a:
+                yield (at, chunk, 1, b"", b"", b"", packed(words[a:b]), b"", packed(counts[a:b]))
+
+    def learn_words(self, replies: list[dict], model: dict) -> np.ndarray:
+        """Numbers, counts and unigram probabilities of the tokens, from the replies in order of hash."""
+        replies = sorted(replies, key=lambda r: r["part"])
+        count = np.concatenate([unpacked(r["counts"]).astype(np.int64) for r in replies])
+        place = np.concatenate([np.cumsum(unpacked(r["sums"]).astype(np.int64)) * self.n_parts + r["part"] for r in replies])
+        self.token = (place + 1).astype(np.uint64)[self.number]
+        self.known = self.context_count = count[self.number]
+        sums = np.array([[model["n"], *model["n_r"][0][:LARGEST], 0.0]])
+        share = probabilities(count, np.repeat(sums, len(count), 0), np.ones(len(count)), discounts(model["n_r"][0]))
+        return (share if model["n"] else np.ones(len(count)))[self.number]
+
+    def next_level(self, n_train: int) -> None:
         """Distinct n-grams of the next level and where they are sent."""
+        # A context's training count is known from the level below, or is the number of texts.
+        moved = np.full(len(self.token), n_train, np.int64)
+        moved[1:] = np.where(self.place[1:] >= 1, self.context_count[:-1], n_train)
+        lag = self.level
         self.level += 1
-        if self.level > 1:
-            before = np.full(len(self.token), BEGIN, np.uint64)
-            lag = self.level - 1
-            before[lag:] = np.where(self.place[lag:] >= lag, self.token[:-lag], BEGIN)
-            self.context = mix(self.context * np.uint64(0x100000001B3) + before + np.uint64(self.level))
-        gram = mix(self.context * np.uint64(0x9E3779B97F4A7C15) + self.token)
+        before = np.full(len(self.token), BEGIN, np.uint64)
+        before[lag:] = np.where(self.place[lag:] >= lag, self.token[:-lag], BEGIN)
+        self.context = before if lag == 1 else mix(self.context * np.uint64(0x100000001B3) + before + np.uint64(self.level))
+        gram = mix(mix(self.context) + self.token)
         self.grams, first, self.of = np.unique(gram, return_index=True, return_inverse=True)
         self.counts = np.bincount(self.of[self.train], minlength=len(self.grams))
-        self.ctx = self.context[first]
-        if self.level > 1:
-            # A context's training count is known from the level below, or is the number of texts.
-            salts = 1 + self.context_count[first].astype(np.int64) // SPLIT_COUNT
-            self.split = salts > 1
-            salt = self.grams % salts.astype(np.uint64)
-            self.part = (mix(self.ctx + salt) % np.uint64(self.n_parts)).astype(np.int64)
-        else:
-            self.split = np.zeros(len(self.grams), np.bool_)
-            self.part = (self.grams % np.uint64(self.n_parts)).astype(np.int64)
-        order = np.lexsort((self.grams, self.ctx, self.part))
-        edges = np.searchsorted(self.part[order], np.arange(self.n_parts + 1))
+        self.ctx, self.word = self.context[first], self.token[first]
+        salts = 1 + moved[first] // SPLIT_COUNT
+        self.split = salts > 1
+        salt = self.grams % salts.astype(np.uint64)
+        part = (mix(self.ctx + mix(salt)) % np.uint64(self.n_parts)).astype(np.int64)
+        order = np.lexsort((self.word, self.ctx, part))
+        edges = np.searchsorted(part[order], np.arange(self.n_parts + 1))
         self.rows = [order[a:b] for a, b in zip(edges, edges[1:], strict=False)]
         self.first_of = first
 
+    def sent(self, chunk: int, lower: np.ndarray) -> Iterator[tuple]:
+        """The distinct n-grams with their lower probabilities and training counts, by partition."""
+        for part, rows in enumerate(self.rows):
+            if len(rows):
+                ctx = self.ctx[rows]
+                at = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+                runs = np.diff(np.append(at, len(rows))).astype(np.uint32)
+                low, counts = coded(lower[self.first_of[rows]]), packed(self.counts[rows].astype(np.uint32))
+                yield (part, chunk, self.level, packed(ctx[at]), packed(runs), packed(self.split[rows][at]), packed(self.word[rows]), low, counts)
+
     def learn(self, replies: list[dict], model: dict, lower: np.ndarray) -> np.ndarray:
         """Probabilities of the tokens at this level; ``lower`` are those of the level below."""
         count = np.zeros(len(self.grams), np.int64)
@@ -211,69 +237,34 @@ class Texts:
                 continue
             rows = self.rows[reply["part"]]
             count[rows] = unpacked(reply["counts"])
-            if self.level > 1:
-                fresh = np.concatenate([[True], self.ctx[rows][1:] != self.ctx[rows][:-1]])
-                sums[rows] = self._sums(reply["sums"], int(fresh.sum()))[np.cumsum(fresh) - 1]
+            fresh = np.concatenate([[True], self.ctx[rows][1:] != self.ctx[rows][:-1]])
+            sums[rows] = self._sums(reply["sums"], int(fresh.sum()))[np.cumsum(fresh) - 1]
         if hot:
             keys = np.array(sorted(hot), np.uint64)
             table = np.array([hot[k] for k in keys])
             at = np.flatnonzero(self.split)
             sums[at] = table[np.searchsorted(keys, self.ctx[at])]
         self.context_count = count[self.of]
-        if self.level == 1:
-            self.known = count[self.of]
-            sums[:] = [model["n"], *model["n_r"][0][:LARGEST], 0.0]
-            share = probabilities(count, sums, np.ones(len(count)), discounts(model["n_r"][0]))
-            if not model["n"]:
-                share = np.ones(len(count))
-            return share[self.of]
-        first = self.first_of
-        share = probabilities(count, sums, lower[first], discounts(model["n_r"][self.level - 1]))
+        share = probabilities(count, sums, lower[self.first_of], discounts(model["n_r"][self.level - 1]))
         return share[self.of]
 
     @staticmethod
     def _sums(blob: bytes, n: int) -> np.ndarray:
         size = int.from_bytes(blob[:8], "little")
-        whole, low = unpacked(blob[8 : 8 + size]).reshape(LARGEST + 1, n).T, unpacked(blob[8 + size :])
+        whole, low = unpacked(blob[8 : 8 + size]).reshape(LARGEST + 1, n).T, decoded(blob[8 + size :])
         return np.column_stack([whole, low])
 
-    def shift(self, n_train: int) -> None:
-        """Training count of each token's context at the next level."""
-        moved = np.full(len(self.token), n_train, np.int64)
-        moved[1:] = np.where(self.place[1:] >= 1, self.context_count[:-1], n_train)
-        self.context_count = moved
-
 
 def _known(row: dict, listed: list[dict], model: dict, levels: int, n_parts: int) -> tuple[Texts, np.ndarray]:
     """A chunk with the probabilities of its tokens at the last of ``levels``."""
     texts = Texts(row, n_parts)
-    share = np.zeros(0)
-    for level in range(1, levels + 1):
-        texts.next_level()
+    share = texts.learn_words([r for r in listed if r["level"] == 1], model)
+    for level in range(2, levels + 1):
+        texts.next_level(model["texts"])
         share = texts.learn([r for r in listed if r["level"] == level], model, share)
-        texts.shift(model["texts"])
     return texts, share
 
 
-def _sent(texts: Texts, chunk: int, lower: np.ndarray) -> Iterator[tuple]:
-    for part, rows in enumerate(texts.rows):
-        if len(rows):
-            ctx = texts.ctx[rows]
-            at = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-            low = lower[texts.first_of[rows]] if len(lower) else np.zeros(len(rows))
-            yield (
-                part,
-                chunk,
-                texts.level,
-                packed(ctx[at]),
-                packed(np.diff(np.append(at, len(rows))).astype(np.uint32)),
-                packed(texts.split[rows][at]),
-                packed(texts.grams[rows]),
-                coded(low) if texts.level > 1 else b"",
-                packed(texts.counts[rows].astype(np.uint32)),
-            )
-
-
 def _sent_batch(rows: list[tuple]) -> pa.Table:
     names = [f.split()[0] for f in SENT.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
@@ -284,10 +275,15 @@ def _merge(table: pa.Table) -> pa.Table:
     """Totals of a count partition, as replies to the chunks that sent to it."""
     sent = table.to_pylist()
     level, part = sent[0]["level"], sent[0]["part"]
-    runs = [unpacked(r["runs"]).astype(np.int64) for r in sent]
-    ctxs = [unpacked(r["ctx"]) for r in sent]
+    runs = [unpacked(r["runs"]).astype(np.int64) if level > 1 else None for r in sent]
+    ctxs = [unpacked(r["ctx"]) if level > 1 else None for r in sent]
     grams = [unpacked(r["grams"]) for r in sent]
-    distinct, first, number = np.unique(np.concatenate(grams), return_index=True, return_inverse=True)
+    if level > 1:
+        contexts = np.concatenate([np.repeat(c, r) for c, r in zip(ctxs, runs, strict=True)])
+        keys = mix(mix(contexts) + np.concatenate(grams))
+    else:
+        keys = np.concatenate(grams)
+    distinct, first, number = np.unique(keys, return_index=True, return_inverse=True)
     counts = np.bincount(number, np.concatenate([unpacked(r["counts"]) for r in sent]), len(distinct)).astype(np.int64)
     sizes = np.array([len(g) for g in grams])
     numbers = np.split(number, np.cumsum(sizes)[:-1])
@@ -295,7 +291,7 @@ def _merge(table: pa.Table) -> pa.Table:
     stats = [int(counts.sum()), int((counts > 0).sum()), *map(int, n_r)]
     out: list[tuple] = []
     if level > 1:
-        ctx = np.concatenate([np.repeat(c, r) for c, r in zip(ctxs, runs, strict=True)])[first]
+        ctx = contexts[first]
         low = np.concatenate([decoded(r["lower"]) for r in sent])[first]
         known, of = np.unique(ctx, return_inverse=True)
         seen = counts > 0
@@ -307,11 +303,12 @@ def _merge(table: pa.Table) -> pa.Table:
             own = sums[np.searchsorted(known, c)]
             out.append((None, level, part, None, None, int(c.view(np.int64)), [float(x) for x in own], None))
     for row, own, ctx in zip(sent, numbers, ctxs, strict=True):
-        blob = b""
+        # A word's number is its place among the sorted words of its partition.
+        blob = packed(np.diff(own, prepend=0).astype(np.uint32)) if level == 1 else b""
         if level > 1:
             found = sums[np.searchsorted(known, ctx)]
             first_part = packed(found[:, :-1].astype(np.uint32 if found[:, 0].max(initial=0) < 1 << 32 else np.int64).T.ravel())
-            blob = len(first_part).to_bytes(8, "little") + first_part + packed(found[:, -1])
+            blob = len(first_part).to_bytes(8, "little") + first_part + coded(found[:, -1])
             wanted = ctx[unpacked(row["split"])]
             out += [(row["chunk"], level, part, None, None, int(c.view(np.int64)), None, None) for c in wanted]
         total = counts[own]
@@ -345,21 +342,19 @@ def score(docs: DataFrame, order: int = ORDER, chunk_tokens: int = CHUNK_TOKENS,
     replies: DataFrame | None = None
 
     def joined(run, schema):
-        return cut.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
+        return cut.drop("words", "n").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                texts = Texts(row, n_parts)
-                texts.next_level()
-                yield from _sent_batch(list(_sent(texts, row["chunk"], np.zeros(0)))).to_batches()
+                yield from _sent_batch(list(Texts(row, n_parts).words_sent(row["chunk"], unpacked(row["words"])))).to_batches()
 
     def send_grams(model: dict, level: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             row = left.to_pylist()[0]
             texts, share = _known(row, right.to_pylist(), model, level - 1, n_parts)
-            texts.next_level()
-            return _sent_batch(list(_sent(texts, row["chunk"], share)))
+            texts.next_level(model["texts"])
+            return _sent_batch(list(texts.sent(row["chunk"], share)))
 
         return run
 
