@@ -55,19 +55,24 @@ def draws(key: Column, tree: list[Shard]) -> Column:
     return F.transform(nodes, draw)
 
 
-def descend(df: DataFrame, key: Column, tree: list[Shard], name: str) -> DataFrame:
-    """``df`` with the int shard ``name`` reached through region and rack."""
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def descend(key: Column, tree: list[Shard]) -> Column:
+    """The shard reached through region and rack."""
 
     def best(rows: Column, level: str) -> Column:
         return F.array_min(F.transform(rows, lambda r: F.struct(r["draw"].alias("draw"), r[level].alias("id"))))["id"]
 
-    columns = df.columns
-    drawn = df.withColumn("_draws", draws(key, tree))
-    region = drawn.withColumn("_region", best(F.col("_draws"), "region"))
-    below = region.withColumn("_draws", F.filter("_draws", lambda r: r["region"] == F.col("_region")))
-    rack = below.withColumn("_rack", best(F.col("_draws"), "rack"))
-    shards = F.filter("_draws", lambda r: r["rack"] == F.col("_rack"))
-    return rack.select(*columns, best(shards, "shard").cast("int").alias(name))
+    def inside(rows: Column, level: str) -> Column:
+        return _bound(best(rows, level), lambda own: F.filter(rows, lambda r: r[level] == own))
+
+    def racks(rows: Column) -> Column:
+        return _bound(inside(rows, "region"), lambda below: _bound(inside(below, "rack"), lambda shards: best(shards, "shard")))
+
+    return _bound(draws(key, tree), racks).cast("int")
 
 
 def assign(docs: DataFrame, tree: list[Shard], grown: list[Shard] | None = None) -> DataFrame:
@@ -79,7 +84,7 @@ def assign(docs: DataFrame, tree: list[Shard], grown: list[Shard] | None = None)
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         text_key().alias("_key"),
     )
-    placed = descend(rows, F.col("_key"), tree, "shard")
+    placed = rows.withColumn("shard", descend(F.col("_key"), tree))
     if grown:
-        placed = descend(placed, F.col("_key"), grown, "grown_shard")
+        placed = placed.withColumn("grown_shard", descend(F.col("_key"), grown))
     return numbered(placed.drop("_key"), ["shard"], "slot")
