@@ -34,8 +34,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCAB, DIM, SMALL = oracles.VOCAB, oracles.DIM, oracles.SMALL
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given table is one small file with one row group, so it is dealt over the cores."""
+    return corpus.documents(spark, sf_dir, spark.sparkContext.defaultParallelism)
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.lines_of(corpus.documents(spark, sf_dir))
+    return corpus.lines_of(_documents(spark, sf_dir))
 
 
 def _parsed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +317,7 @@ def train_modifiers(spark, sf_dir):
 
 
 def _placed(spark, sf_dir):
-    docs = corpus.documents(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
     return trees.phrase_sentences(standin.rule_phrases(docs), standin.rule_sentences(docs))
 
 
@@ -321,7 +326,7 @@ def rule_tokens(spark, sf_dir):
 
 
 def dep_depth(spark, sf_dir):
-    seen = trees.depths(standin.rule_sentences(corpus.documents(spark, sf_dir)))
+    seen = trees.depths(standin.rule_sentences(_documents(spark, sf_dir)))
     placed = seen.select("rule_id", "side", "sent_no", F.posexplode("depth").alias("at", "depth"))
     return placed.select("rule_id", "side", "sent_no", (F.col("at") + 1).alias("idx"), "depth")
 
@@ -337,7 +342,7 @@ def phrase_nodes(spark, sf_dir):
 
 
 def phrase_expressions(spark, sf_dir):
-    rules_table = standin.rule_phrases(corpus.documents(spark, sf_dir))
+    rules_table = standin.rule_phrases(_documents(spark, sf_dir))
     return trees.expression_texts(rules_table, trees.phrase_nodes(_placed(spark, sf_dir)))
 
 
@@ -380,7 +385,7 @@ def compose_vectors(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    table = standin.rule_phrases(corpus.documents(spark, sf_dir))
+    table = standin.rule_phrases(_documents(spark, sf_dir))
     return rules.rule_scores(table, cut_lineage(_composed(spark, sf_dir)))
 
 
@@ -424,7 +429,7 @@ def training_list(spark, sf_dir):
 
 def rule_table(spark, sf_dir):
     """Tab-separated rule lines built from the documents, read back by position."""
-    sides = standin.rule_phrases(corpus.documents(spark, sf_dir))
+    sides = standin.rule_phrases(_documents(spark, sf_dir))
     both = sides.groupBy("rule_id").pivot("side", ["L", "R"]).agg(F.first("phrase"))
     name = F.concat(F.lit("["), F.col("rule_id").cast("string"), F.lit("]"))
     blank = [F.lit("")] * 6

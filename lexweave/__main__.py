@@ -15,13 +15,14 @@ from lexweave.plans.phrases import build_phrases
 from lexweave.plans.score import decompose, score
 from lexweave.plans.train import build_space, train
 from lexweave.plans.words import TaggedWords, plain_words, tagged_words
-from lexweave.session import cut_lineage, get_session
+from lexweave.session import cut_lineage, get_session, remove_staged
 from lexweave.sources import corpus, text_formats
 from lexweave.sources.sinks import comparison, read_table, write_scores, write_table
 
 
 def plain(spark: SparkSession, args: argparse.Namespace) -> None:
-    job = plain_words(corpus.read_text_lines(spark, args.input), args.window, args.min_count)
+    lines = corpus.read_text_lines(spark, args.input, args.partitions)
+    job = plain_words(lines, args.window, args.min_count, keep_empty=args.keep_empty)
     write_table(job.vocab, args.out, "vocabulary")
     write_table(job.ppmi(), args.out, "pmi")
 
@@ -35,7 +36,7 @@ def similarity(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def words(spark: SparkSession, args: argparse.Namespace) -> None:
-    parsed = corpus.parse_lines(corpus.read_text_lines(spark, args.input))
+    parsed = corpus.parse_lines(corpus.read_text_lines(spark, args.input, args.partitions))
     job = tagged_words(parsed, args.window, args.vocab_size, args.dim)
     write_table(vocab.tagged_total(job.parsed), args.out, "word_total")
     write_table(job.vocab, args.out, "words")
@@ -44,12 +45,13 @@ def words(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def phrases(spark: SparkSession, args: argparse.Namespace) -> None:
     """All five labels at once, over the vocabulary of the word job."""
-    parsed = cut_lineage(corpus.parse_lines(corpus.read_text_lines(spark, args.input)))
+    parsed = cut_lineage(corpus.parse_lines(corpus.read_text_lines(spark, args.input, args.partitions)))
     known = vocab.frequency_vocab(
         read_table(spark, args.out, "words").select("term", "cnt"), args.vocab_size
     )
     job = TaggedWords(parsed, cut_lineage(known), min(args.dim, args.vocab_size), args.window)
-    built = build_phrases(job, args.window, args.min_count)
+    total = read_table(spark, args.out, "word_total").first()["total"]
+    built = build_phrases(job, args.window, args.min_count, word_total=total)
     write_table(built.vocab, args.out, "phrases", ("label",))
     write_table(built.ppmi(), args.out, "phrase_pmi", ("label",))
 
@@ -71,7 +73,7 @@ def train_job(spark: SparkSession, args: argparse.Namespace) -> None:
 def decompose_job(spark: SparkSession, args: argparse.Namespace) -> None:
     """``--input`` holds the rule file, ``--sentences`` its sentences as a parquet table."""
     table = text_formats.read_rules(spark, args.input)
-    nodes, texts = decompose(table, spark.read.parquet(args.sentences))
+    nodes, texts = decompose(table, spark.read.parquet(args.sentences), args.include_last)
     write_table(nodes, args.out, "nodes")
     written = write_table(texts, args.out, "expressions")
     write_table(comparison(table, written), args.out, "comparison")
@@ -115,6 +117,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--out", required=True)
     parser.add_argument("--window", type=int, default=cooc.WINDOW)
     parser.add_argument("--min-count", type=int)
+    parser.add_argument("--partitions", type=int, help="deal the input over so many partitions")
+    parser.add_argument("--keep-empty", action="store_true", help="plain job: empty tokens count")
+    parser.add_argument("--include-last", action="store_true", help="last tokens may be phrase words")
     parser.add_argument("--vocab-size", type=int, default=vocab.VOCAB_SIZE)
     parser.add_argument("--dim", type=int, default=vocab.VOCAB_SIZE)
     parser.add_argument("--rank", type=int, default=300)
@@ -126,7 +131,14 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     if args.min_count is None:
         args.min_count = vocab.PHRASE_MIN_COUNT if args.job == "phrases" else vocab.PLAIN_MIN_COUNT
-    JOBS[args.job](SparkSession.getActiveSession() or get_session(), args)
+    spark = SparkSession.getActiveSession() or get_session()
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
+        context.setCheckpointDir(f"{args.out}/_scratch")
+    try:
+        JOBS[args.job](spark, args)
+    finally:
+        remove_staged(spark)
 
 
 if __name__ == "__main__":

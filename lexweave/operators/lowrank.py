@@ -26,6 +26,10 @@ from lexweave.session import cut_lineage
 # Fixed value: a column whose residual falls below this is dropped, with all later ones.
 RESIDUAL_EPS = 1e-4
 
+# A factor up to this size is sent whole to the workers; cells gathered at once in a product.
+FACTOR_BYTES = 128 << 20
+GATHERED_CELLS = 200_000
+
 VECTOR_SCHEMA = "idx bigint, vec array<double>"
 
 
@@ -47,6 +51,8 @@ def vectors_of(column: pa.ListArray) -> np.ndarray:
 def lists_of(matrix: np.ndarray) -> pa.ListArray:
     """A matrix as a list column."""
     rows, width = matrix.shape
+    if rows * width >= 1 << 31:
+        raise ValueError(f"{rows} rows of {width} numbers exceed one Arrow list column")
     offsets = np.arange(rows + 1, dtype=np.int32) * width
     return pa.ListArray.from_arrays(offsets, np.ascontiguousarray(matrix).ravel())
 
@@ -64,10 +70,7 @@ def _segment_products(
 
     ``blocks(i)`` gives the block of the i-th segment and the index of its first row.
     """
-    starts = entries.offsets.to_numpy()
-    cells = entries.values
-    inner = cells.field("inner").to_numpy(zero_copy_only=False)
-    weight = cells.field("val").to_numpy(zero_copy_only=False)
+    starts, inner, weight = _cells(entries)
     out = np.empty((len(entries), width))
     for i in range(len(entries)):
         lo, hi = starts[i], starts[i + 1]
@@ -76,6 +79,31 @@ def _segment_products(
     return out
 
 
+def _cells(entries: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, inner indices and weights of a column of sparse rows."""
+    cells = entries.values
+    inner = cells.field("inner").to_numpy(zero_copy_only=False)
+    return entries.offsets.to_numpy(), inner, cells.field("val").to_numpy(zero_copy_only=False)
+
+
+def _gathered(entries: pa.ListArray, matrix: np.ndarray) -> np.ndarray:
+    """Sparse rows times one dense matrix: gather, weigh and add up, some rows at a time."""
+    starts, inner, weight = _cells(entries)
+    sizes = np.diff(starts)
+    out = np.zeros((len(entries), matrix.shape[1]))
+    at = 0
+    while at < len(entries):
+        end = int(np.searchsorted(starts, starts[at] + GATHERED_CELLS, "right")) - 1
+        end = min(max(end, at + 1), len(entries))
+        lo, hi = starts[at], starts[end]
+        full = at + np.flatnonzero(sizes[at:end])
+        if len(full):
+            products = matrix[inner[lo:hi]] * weight[lo:hi, None]
+            out[full] = np.add.reduceat(products, starts[full] - lo, axis=0)
+        at = end
+    return out
+
+
 def times_gaussian(rows: DataFrame, width: int, seed: int) -> DataFrame:
     """Sparse rows times a gaussian matrix that every worker derives from the seed."""
 
@@ -135,6 +163,34 @@ def times_factor(rows: DataFrame, factor: DataFrame, width: int) -> DataFrame:
     return sum_vectors(products, "idx")
 
 
+def product(matrix: DataFrame, outer: str, inner: str, factor: DataFrame, width: int) -> DataFrame:
+    """The sparse matrix by ``outer`` times the factor by ``inner``, as ``(idx, vec)``.
+
+    A factor whose bytes were checked to be within ``FACTOR_BYTES`` goes to every worker: a whole
+    sparse row meets it at once and yields one dense row, so nothing dense is shuffled. A larger
+    one is co-grouped with segments of the rows.
+    """
+    shape = factor.agg(F.count(F.lit(1)).alias("n"), F.max("idx").alias("last")).first()
+    if not shape.n or (shape["last"] + 1) * width * 8 > FACTOR_BYTES:
+        return times_factor(_by(matrix, outer, inner), factor, width)
+    dense = np.zeros((shape["last"] + 1, width))
+    for row in factor.toLocalIterator():
+        dense[row.idx] = row.vec
+    shared = matrix.sparkSession.sparkContext.broadcast(dense)
+    # Rows a factor lacks count as zero, also those after its last.
+    entry = F.struct(F.col(inner).alias("inner"), F.col("val").alias("val"))
+    present = matrix.where(F.col(inner) <= shape["last"])
+    rows = present.groupBy(F.col(outer).alias("idx")).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                out = _gathered(batch.column("entries"), shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column("idx"), lists_of(out)], names=["idx", "vec"])
+
+    return rows.mapInArrow(run, VECTOR_SCHEMA)
+
+
 def times_small(df: DataFrame, right: np.ndarray) -> DataFrame:
     """Every ``vec`` times a small matrix."""
 
@@ -232,7 +288,7 @@ def randomized_svd(matrix: DataFrame, rank: int, seed: int = 0) -> Factors:
     sample, to_basis = _sample(matrix, rank, seed)
     k = to_basis.shape[1]
     basis = times_small(sample, to_basis)
-    image = cut_lineage(times_factor(_by(matrix, "row", "col"), basis, k))
+    image = cut_lineage(product(matrix, "row", "col", basis, k))
     mix = np.random.default_rng([seed, -1 & 0xFFFFFFFF]).standard_normal((k, k))
     to_left = orthonormal(image, mix)
     core = gram(image, to_left, np.eye(k))
@@ -247,7 +303,7 @@ def randomized_eigen(matrix: DataFrame, rank: int, seed: int = 0) -> Factors:
     sample, to_basis = _sample(matrix, rank, seed)
     k = to_basis.shape[1]
     basis = times_small(sample, to_basis)
-    image = times_factor(_by(matrix, "row", "col"), basis, k)
+    image = product(matrix, "row", "col", basis, k)
     both = basis.join(image.withColumnRenamed("vec", "image"), "idx")
     core = gram(both, np.eye(k), np.eye(k), "vec", "image")
     values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -263,7 +319,7 @@ def randomized_pca(matrix: DataFrame, rank: int, seed: int = 0) -> Factors:
 
 def dense_word_vectors(matrix: DataFrame, basis: DataFrame, width: int) -> DataFrame:
     """``(idx, vec)``: projected columns, normalised; a zero column has no row."""
-    projected = times_factor(_by(matrix, "col", "row"), basis, width)
+    projected = product(matrix, "col", "row", basis, width)
     return projected.select("idx", normalise(F.col("vec")).alias("vec")).where(
         F.col("vec").isNotNull()
     )
@@ -277,8 +333,8 @@ def dense_phrase_vectors(matrix: DataFrame, basis: DataFrame, width: int) -> Dat
     names = F.array(*[F.lit(x) for x in PHRASE_LABELS])
     code = F.array_position(names, F.col("label")) - 1
     keyed = matrix.select("row", "val", (F.col("col") * len(PHRASE_LABELS) + code).alias("idx"))
-    product = times_factor(segments(keyed, "idx", "row"), basis, width)
-    return product.select(
+    rows = product(keyed, "idx", "row", basis, width)
+    return rows.select(
         F.get(names, F.pmod("idx", F.lit(len(PHRASE_LABELS))).cast("int")).alias("label"),
         F.floor(F.col("idx") / len(PHRASE_LABELS)).cast("bigint").alias("idx"),
         "vec",

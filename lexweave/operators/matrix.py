@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.scale import BROADCAST_ROWS, lookup_join
+from lexweave.session import cut_lineage
 
 # Sparse columns are kept in segments of this many consecutive indices, so that no group grows
 # with the vocabulary.
@@ -93,7 +94,10 @@ def word_cosine(
         coded = lookup_join(coded, code, [part], [other], "left", max_broadcast_rows)
 
     norms = matrix.groupBy("col").agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("norm"))
-    known = coded.where(F.col("w1_idx").isNotNull() & F.col("w2_idx").isNotNull())
+    # Pairs with an unknown word are done here: no join below sees a missing index.
+    coded = cut_lineage(coded)
+    missing = F.col("w1_idx").isNull() | F.col("w2_idx").isNull()
+    known = coded.where(~missing)
     left = matrix.select(F.col("col").alias("w1_idx"), "row", F.col("val").alias("x"))
     right = matrix.select(F.col("col").alias("w2_idx"), "row", F.col("val").alias("y"))
     cells = lookup_join(
@@ -104,7 +108,7 @@ def word_cosine(
         cells, right, ["w2_idx", "row"], ["w1_idx"], max_broadcast_rows=max_broadcast_rows
     )
     dots = products.groupBy("w1_idx", "w2_idx").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = coded.join(dots, ["w1_idx", "w2_idx"], "left")
+    scored = known.join(dots, ["w1_idx", "w2_idx"], "left")
     for part, other in (("w1", "w2"), ("w2", "w1")):
         side = norms.select(
             F.col("col").alias(f"{part}_idx"), F.col("norm").alias(f"{part}_norm")
@@ -112,6 +116,6 @@ def word_cosine(
         scored = lookup_join(
             scored, side, [f"{part}_idx"], [f"{other}"], "left", max_broadcast_rows
         )
-    missing = F.col("w1_idx").isNull() | F.col("w2_idx").isNull()
     cosine = F.coalesce("dot", F.lit(0.0)) / F.col("w1_norm") / F.col("w2_norm")
-    return scored.select("w1", "w2", F.when(missing, F.lit(-1.0)).otherwise(cosine).alias("cosine"))
+    unknown = coded.where(missing).select("w1", "w2", F.lit(-1.0).alias("cosine"))
+    return scored.select("w1", "w2", cosine.alias("cosine")).unionByName(unknown)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.tokens import plain_tokens
@@ -70,9 +70,8 @@ def top_k(counts: DataFrame, k: int = VOCAB_SIZE) -> DataFrame:
 
 
 def frequency_vocab(counts: DataFrame, k: int = VOCAB_SIZE) -> DataFrame:
-    """``(term, cnt, idx)``: index 0 is the most frequent. At most ``k`` rows reach the window."""
-    ranked = Window.orderBy(F.desc("cnt"), F.desc("term"))
-    return top_k(counts, k).withColumn("idx", F.row_number().over(ranked).cast("bigint") - 1)
+    """``(term, cnt, idx)``: index 0 is the most frequent. The order is that of a distributed sort."""
+    return sorted_index(top_k(counts, k), [F.desc("cnt"), F.desc("term")])
 
 
 def phrases_in_vocab(phrase_counts: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -8,9 +8,12 @@ from lexweave.operators import compose, rules, trees
 from lexweave.session import cut_lineage
 
 
-def decompose(rule_table: DataFrame, sentences: DataFrame) -> tuple[DataFrame, DataFrame]:
+def decompose(
+    rule_table: DataFrame, sentences: DataFrame, include_last: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Node table and expression texts of all rules."""
-    nodes = cut_lineage(trees.phrase_nodes(trees.phrase_sentences(rule_table, sentences)))
+    placed = trees.phrase_sentences(rule_table, sentences, include_last)
+    nodes = cut_lineage(trees.phrase_nodes(placed))
     return nodes, trees.expression_texts(rule_table, nodes)
 
 

@@ -35,9 +35,12 @@ class PlainWords:
 
 
 def plain_words(
-    lines: DataFrame, window: int = cooc.WINDOW, min_count: int = vocab.PLAIN_MIN_COUNT
+    lines: DataFrame,
+    window: int = cooc.WINDOW,
+    min_count: int = vocab.PLAIN_MIN_COUNT,
+    keep_empty: bool = False,
 ) -> PlainWords:
-    tokens = vocab.plain_token_arrays(lines)
+    tokens = vocab.plain_token_arrays(lines, keep_empty)
     kept = vocab.at_least(vocab.plain_word_counts(tokens), min_count)
     return PlainWords(tokens, vocab.lexicographic_vocab(kept), window)
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables written by this process and not yet removed.
+_staged: list[str] = []
+
 
 def get_session(
     app_name: str = "lexweave",
@@ -31,14 +34,25 @@ def get_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a new one only if none is set."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    A local session may do without the setting. On a cluster a missing one is an error: executors
+    would write to disks that others cannot read.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lexweave-ckpt-"))
     return context.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from the written files.
 
@@ -47,4 +61,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete the tables that ``cut_lineage`` has written in this process; call it when a job has ended."""
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

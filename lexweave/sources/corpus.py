@@ -9,9 +9,10 @@ from lexweave.functions import tokens as tk
 from lexweave.scale import spread
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """The two columns of the ``documents`` table that carry a corpus."""
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(table.select("doc_id", "text"), partitions)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -19,9 +20,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
 
 
-def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_text_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Lines of plain text files; every file line is a document of one line."""
-    rows = spread(spark.read.text(path))
+    rows = spread(spark.read.text(path), partitions)
     return rows.select(
         F.monotonically_increasing_id().alias("doc_id"),
         F.lit(0).alias("line_no"),

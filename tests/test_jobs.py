@@ -102,7 +102,8 @@ def test_registration():
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names
     # Only results without a closed SQL form go without a statement.
-    assert names - set(entry.oracle_sql()) == {"train_modifiers", "rule_scores"}
+    own = {q.__name__ for q in entry.QUERIES}
+    assert own - set(entry.oracle_sql()) == {"train_modifiers", "rule_scores"}
 
 
 @pytest.mark.parametrize("name", ["ppmi_plain", "ppmi_words", "ppmi_phrases", "phrase_nodes", "gcv_lambda", "greedy_match"])
@@ -122,3 +123,27 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     top = entry.entry(spark).limit(3).collect()
     assert len(top) == 3 and top[0].val >= top[1].val >= top[2].val
+
+
+def test_missing_shared_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lexweave import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    spark = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(spark)
+    assert session.is_local("local[4]") and not session.is_local("local-cluster[2,1,512]")
+
+
+def test_staged_tables_go_at_the_end(spark, tmp_path):
+    import os
+
+    from lexweave import session
+
+    folder = session.shared_dir(spark).removeprefix("file:")
+    session.cut_lineage(spark.range(3))
+    assert any(n.startswith("staged-") for n in os.listdir(folder))
+    session.remove_staged(spark)
+    assert not any(n.startswith("staged-") for n in os.listdir(folder))
