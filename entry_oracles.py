@@ -441,7 +441,7 @@ around AS (
          lag(t, 3) OVER w AS p3, lag(t, 4) OVER w AS p4
   FROM tagged WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY pos)),
 stok AS (
-  SELECT (doc_id * 1048576 + line_no // 4)::BIGINT AS rule_id,
+  SELECT (doc_id * 536870912 + line_no // 4)::BIGINT AS rule_id,
          CASE WHEN line_no % 4 < 2 THEN 'L' ELSE 'R' END AS side, (line_no % 2)::INT AS sent_no,
          (pos + 1)::INT AS idx, count(*) OVER (PARTITION BY doc_id, line_no) AS n,
          w || '-' || t AS term, t, {_heads()}
@@ -549,7 +549,7 @@ tree AS (
   FROM numbered WHERE parent IS NULL
   UNION ALL
   SELECT c.rule_id, c.side, c.frag, c.node, c.label, c.word, c.head,
-         p.path || '.' || lpad(c.s::VARCHAR, 7, '0'), p.level + 1
+         p.path || '.' || lpad(c.s::VARCHAR, 10, '0'), p.level + 1
   FROM tree p JOIN numbered c ON c.rule_id = p.rule_id AND c.side = p.side AND c.frag = p.frag
    AND c.parent = p.node)"""
 )
@@ -590,7 +590,7 @@ exprs AS (
   SELECT rule_id, side, frag, string_agg(mark, ' ' ORDER BY spot) AS expr
   FROM marks GROUP BY 1, 2, 3),
 sides AS (
-  SELECT DISTINCT (doc_id * 1048576 + line_no // 4)::BIGINT AS rule_id, side
+  SELECT DISTINCT (doc_id * 536870912 + line_no // 4)::BIGINT AS rule_id, side
   FROM lines, (VALUES ('L'), ('R')) s(side))""",
             """SELECT rule_id, side, coalesce(string_agg(frag || ' = ' || expr, chr(9) ORDER BY frag),
   '#FAIL#') AS text FROM sides LEFT JOIN exprs USING (rule_id, side) GROUP BY 1, 2""",
@@ -672,7 +672,7 @@ ORACLES.update(
             COMPOSED
             + """,
 rule_ids AS (
-  SELECT DISTINCT (doc_id * 1048576 + line_no // 4)::BIGINT AS rule_id FROM lines),
+  SELECT DISTINCT (doc_id * 536870912 + line_no // 4)::BIGINT AS rule_id FROM lines),
 sides AS (
   SELECT rule_id, count(*) FILTER (side = 'L') AS l, count(*) FILTER (side = 'R') AS r,
          count(*) FILTER (side = 'L' AND NOT bad) AS lu,

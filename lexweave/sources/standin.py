@@ -23,7 +23,8 @@ EDGE_RULES = {
 }
 EDGE_REACH = 4
 SENTENCES_PER_SIDE = 2
-RULE_STRIDE = 1 << 20
+# An array of lines has under 2^31 elements, so a text has at most 2^29 blocks of four.
+RULE_STRIDE = 1 << 29
 
 
 def _lemma(token: Column) -> Column:
