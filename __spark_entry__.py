@@ -8,6 +8,8 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
 from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -311,9 +313,91 @@ def gcv_lambda(spark, sf_dir):
     return _rounded(best.select("label", "lam", "err"), "err")
 
 
+def _normal_equations(samples: pa.Table, fitted: pa.Table) -> pa.Table:
+    """How far a fitted matrix M is from M (G + lam I) = H, and whether no other lam has a smaller error."""
+    row = fitted.to_pylist()[0]
+    matrix, size = np.array(row["mat"]), len(row["mat"])
+    p, a = (np.array(samples.column(c).to_pylist()).reshape(-1, size) for c in "pa")
+    gram, cross = a.T @ a, p.T @ a
+    errors = []
+    for lam in ridge.LAMBDAS:
+        other = cross @ np.linalg.inv(gram + lam * np.eye(size))
+        trace = float(np.trace(gram @ np.linalg.inv(gram + lam * np.eye(size))))
+        below = max(len(a), 1) * (1 - trace / max(len(a), 1)) ** 2
+        errors.append(((p - a @ other.T) ** 2).sum() / below)
+    least = errors[ridge.LAMBDAS.index(row["lam"])] <= min(errors) * (1 + 1e-9) + 1e-12
+    off = float(np.abs(matrix @ (gram + row["lam"] * np.eye(size)) - cross).max())
+    out = {
+        "label": row["label"], "word": row["word"], "n_samples": len(a), "a_norm2": float((a * a).sum()),
+        "p_along_a": float((p * a).sum()), "off_normal": off, "gcv_least": bool(least),
+    }
+    return pa.table({k: [v] for k, v in out.items()})
+
+
 def train_modifiers(spark, sf_dir):
-    modifiers = _trained(spark, sf_dir).modifiers
-    return modifiers.select("label", "word", "lam", "n_samples")
+    trained = _trained(spark, sf_dir)
+    modifiers = cut_lineage(trained.modifiers)
+    keys = ["label", "word"]
+    schema = "label string, word string, n_samples bigint, a_norm2 double, p_along_a double, off_normal double, gcv_least boolean"
+    checked = trained.samples.select(*keys, "p", "a").groupBy(*keys).cogroup(modifiers.groupBy(*keys))
+    rows = checked.applyInArrow(_normal_equations, schema)
+    places = {"a_norm2": 4, "p_along_a": 4, "off_normal": 6}
+    return rows.withColumns({name: _round(name, n) for name, n in places.items()})
+
+
+def _planar_parts(spark, sf_dir):
+    """Trees over the embeddings' first two components, with the matrices fitted to them.
+
+    Four following rows make a fragment: a head among the first ten words, a modifier of it, and an
+    object that has a modifier of its own; some words are unknown, some matrices are missing.
+    """
+    table = _embeddings(spark, sf_dir)
+
+    def word(number: Column) -> Column:
+        return F.concat(F.lit("w"), number.cast("string"))
+
+    words = table.select(word(F.col("vec_id")).alias("term"), F.slice("embedding", 1, 2).alias("vec"))
+    fits = ridge.ridge_fits(_planar_samples(spark, sf_dir), ["label"], ["vec_id"], best_only=True)
+    labels = F.when(F.col("label") % 2 == 0, F.array(F.lit("amod"), F.lit("dobj"))).otherwise(F.array(F.lit("amod")))
+    modifiers = fits.select(word(F.col("label")).alias("word"), F.explode(labels).alias("label"), "mat")
+    g = F.floor(F.col("vec_id") / 4)
+    head, object_ = word(g % 10), word(g * 7 % 10)
+    plain = g % 3 == 0
+
+    def node(number, parent, level, path, label, own, above):
+        text = F.lit(None).cast("string")
+        columns = {"node": F.lit(number), "parent": F.lit(parent).cast("int"), "level": F.lit(level), "path": F.lit(path), "label": text if label is None else label, "word": own, "head": text if above is None else above}
+        return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+    first = F.when(g % 11 == 5, F.lit("unknown")).otherwise(word(g * 4 + 1))
+    nodes = F.array(
+        node(0, None, 0, "", None, head, None),
+        node(1, 0, 1, ".1", F.when(plain, "pmod").otherwise("amod"), first, F.when(~plain, head)),
+        node(2, 0, 1, ".2", F.lit("dobj"), object_, head),
+        node(3, 2, 2, ".2.3", F.lit("amod"), word(g * 4 + 3), object_),
+    )
+    fragments = table.where("vec_id % 4 = 3").select(
+        F.floor(g / 4).alias("rule_id"),
+        F.when(g % 2 == 0, "L").otherwise("R").alias("side"),
+        (F.floor(g % 4 / 2) + 1).cast("int").alias("frag"),
+        F.inline(nodes),
+    )
+    return fragments, words, cut_lineage(modifiers)
+
+
+def compose_planar(spark, sf_dir):
+    composed = compose.compose(*_planar_parts(spark, sf_dir))
+    x, y = (F.get("vec", F.lit(i)) for i in (0, 1))
+    return composed.select("rule_id", "side", "frag", "status", _round(x).alias("x"), _round(y).alias("y"))
+
+
+def score_planar(spark, sf_dir):
+    nodes, words, modifiers = _planar_parts(spark, sf_dir)
+    fragments = cut_lineage(compose.compose(nodes, words, modifiers))
+    scores = rules.rule_scores(nodes.select("rule_id").distinct(), fragments)
+    rows = scores.select("rule_id", "status", "mean_sim", F.posexplode_outer("matches").alias("at", "m"))
+    columns = ("m.place", "m.sim", "m.l_frag", "m.r_frag")
+    return _rounded(rows.select("rule_id", "status", "mean_sim", *columns), "mean_sim", "sim")
 
 
 def _placed(spark, sf_dir):
@@ -491,6 +575,8 @@ QUERIES: tuple[Query, ...] = (
     compose_vectors,
     rule_status,
     rule_scores,
+    compose_planar,
+    score_planar,
     counts_reloaded,
     triplets_reloaded,
     matrix_ppmi,

@@ -712,6 +712,96 @@ FROM places WHERE t <> 'dt'""",
     }
 )
 
+PLANAR = (
+    RIDGE
+    + """,
+best AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY err, lam) = 1),
+v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+g AS (SELECT vec_id // 4 AS g FROM embeddings WHERE vec_id % 4 = 3),
+objects AS (
+  SELECT g, h.x + m11 * c.x + m12 * c.y AS x, h.y + m21 * c.x + m22 * c.y AS y
+  FROM g JOIN v h ON h.vec_id = g * 7 % 10 JOIN best b ON b.label = g * 7 % 10
+  JOIN v c ON c.vec_id = g * 4 + 3),
+firsts AS (
+  SELECT g, h.x + CASE WHEN g % 3 = 0 THEN c.x ELSE m11 * c.x + m12 * c.y END AS x,
+         h.y + CASE WHEN g % 3 = 0 THEN c.y ELSE m21 * c.x + m22 * c.y END AS y, h.x AS hx, h.y AS hy
+  FROM g JOIN v h ON h.vec_id = g % 10 JOIN best b ON b.label = g % 10 JOIN v c ON c.vec_id = g * 4 + 1),
+joined AS (
+  SELECT f.g, (f.g % 11 = 5 AND f.g % 3 <> 0) OR f.g % 10 % 2 = 1 AS bad,
+         CASE WHEN f.g % 11 = 5 THEN f.hx ELSE f.x / sqrt(f.x * f.x + f.y * f.y) END AS ax,
+         CASE WHEN f.g % 11 = 5 THEN f.hy ELSE f.y / sqrt(f.x * f.x + f.y * f.y) END AS ay,
+         o.x / sqrt(o.x * o.x + o.y * o.y) AS ox, o.y / sqrt(o.x * o.x + o.y * o.y) AS oy
+  FROM firsts f JOIN objects o USING (g)),
+added AS (
+  SELECT j.g, bad, ax + m11 * ox + m12 * oy AS x, ay + m21 * ox + m22 * oy AS y
+  FROM joined j JOIN best b ON b.label = j.g % 10),
+planar AS (
+  SELECT g // 4 AS rule_id, CASE WHEN g % 2 = 0 THEN 'L' ELSE 'R' END AS side,
+         (g % 4 // 2 + 1)::INT AS frag, CASE WHEN bad THEN 'zero' ELSE 'ok' END AS status,
+         CASE WHEN NOT bad THEN x / sqrt(x * x + y * y) END AS x,
+         CASE WHEN NOT bad THEN y / sqrt(x * x + y * y) END AS y FROM added)"""
+)
+
+ORACLES.update(
+    {
+        "compose_planar": with_(
+            PLANAR, "SELECT rule_id, side, frag, status, round(x, 6) AS x, round(y, 6) AS y FROM planar"
+        ),
+        "score_planar": with_(
+            PLANAR
+            + """,
+sides AS (
+  SELECT rule_id, count(*) FILTER (side = 'L') AS l, count(*) FILTER (side = 'R') AS r,
+         count(*) FILTER (side = 'L' AND status = 'ok') AS lu, count(*) FILTER (side = 'R' AND status = 'ok') AS ru,
+         sum(x) FILTER (side = 'L') AS lx, sum(y) FILTER (side = 'L') AS ly,
+         sum(x) FILTER (side = 'R') AS rx, sum(y) FILTER (side = 'R') AS ry FROM planar GROUP BY 1),
+scored AS (
+  SELECT rule_id, CASE WHEN least(l, r) = 0 THEN 'failed' WHEN least(lu, ru) = 0 THEN 'no_vector' ELSE 'scored' END AS status,
+         abs(lx * rx + ly * ry) / sqrt(lx * lx + ly * ly) / sqrt(rx * rx + ry * ry) AS mean FROM sides),
+start AS (
+  SELECT a.rule_id, list({'sim': abs(a.x * b.x + a.y * b.y), 'i': a.frag, 'j': b.frag}
+    ORDER BY abs(a.x * b.x + a.y * b.y) DESC, a.frag, b.frag) AS rest
+  FROM planar a JOIN planar b ON b.rule_id = a.rule_id AND a.side = 'L' AND b.side = 'R'
+  AND a.status = 'ok' AND b.status = 'ok' GROUP BY 1),
+steps AS (
+  SELECT rule_id, 0 AS place, rest FROM start
+  UNION ALL
+  SELECT rule_id, place + 1, list_filter(rest, lambda p: p.i <> rest[1].i AND p.j <> rest[1].j)
+  FROM steps WHERE len(rest) > 0)""",
+            """SELECT s.rule_id, s.status, CASE s.status WHEN 'failed' THEN -2.0 WHEN 'no_vector' THEN -1.0
+  ELSE round(mean, 6) END AS mean_sim, t.place, round(t.rest[1].sim, 6) AS sim,
+  t.rest[1].i AS l_frag, t.rest[1].j AS r_frag
+FROM scored s LEFT JOIN (SELECT * FROM steps WHERE len(rest) > 0) t USING (rule_id)""",
+            recursive=True,
+        ),
+        "train_modifiers": with_(
+            PHRASE_SPACE
+            + """,
+trained AS (SELECT label, word FROM oriented GROUP BY 1, 2 HAVING count(*) >= 3),
+ww AS (
+  SELECT a.col AS i, b.col AS j, sum(a.val * b.val) AS dot
+  FROM (SELECT DISTINCT x.idx AS i, y.idx AS j FROM oriented o
+        JOIN vocab x ON x.term = o.word JOIN vocab y ON y.term = o.arg) q
+  JOIN mat a ON a.col = q.i JOIN mat b ON b.col = q.j AND b."row" = a."row" GROUP BY 1, 2),
+sampled AS (
+  SELECT o.label, o.word, coalesce(da.dot, 0) / sqrt(n.norm2) / wa.norm
+         - coalesce(ww.dot, 0) / wm.norm / wa.norm AS along
+  FROM oriented o JOIN trained USING (label, word)
+  JOIN pnorm n ON n.label = o.label AND n.col = o.col
+  JOIN vocab m ON m.term = o.word JOIN vocab a ON a.term = o.arg
+  JOIN wnorm wm ON wm.col = m.idx JOIN wnorm wa ON wa.col = a.idx
+  LEFT JOIN pw da ON da.label = o.label AND da.col = o.col AND da.word_idx = a.idx
+  LEFT JOIN ww ON ww.i = m.idx AND ww.j = a.idx),
+known AS (
+  SELECT t.label, t.word FROM trained t JOIN vocab m ON m.term = t.word JOIN wnorm w ON w.col = m.idx)""",
+            """SELECT k.label, k.word, count(s.along)::BIGINT AS n_samples,
+  count(s.along)::DOUBLE AS a_norm2, round(coalesce(sum(s.along), 0), 4) AS p_along_a,
+  0.0::DOUBLE AS off_normal, true AS gcv_least
+FROM known k LEFT JOIN sampled s USING (label, word) GROUP BY 1, 2""",
+        ),
+    }
+)
+
 
 def _no_negative_zero(statement: str, columns: tuple[str, ...]) -> str:
     fixed = ", ".join(f"CASE WHEN {c} = 0 THEN 0.0::DOUBLE ELSE {c} END AS {c}" for c in columns)
@@ -725,6 +815,8 @@ SIGNED = {
     "word_cosine": ("cosine",),
     "train_samples": ("p_norm2", "p_along_a"),
     "ridge_modifiers": ("m11", "m12", "m21", "m22"),
+    "compose_planar": ("x", "y"),
+    "train_modifiers": ("p_along_a",),
 }
 for _name, _columns in SIGNED.items():
     ORACLES[_name] = _no_negative_zero(ORACLES[_name], _columns)
