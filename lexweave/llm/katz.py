@@ -34,7 +34,7 @@ from lexweave.llm.common import Words, ascii_lower, mix, pieces, utf8
 from lexweave.session import cut_lineage
 
 ORDER, LARGEST = 2, 5
-CHUNK_TOKENS, PART_TOKENS, SPLIT_COUNT = 1_500_000, 2_000_000, 500_000
+CHUNK_TOKENS, PART_TOKENS, SPLIT_COUNT = 1_100_000, 2_000_000, 500_000
 FOLDS, HELD_OUT = 7, 2
 # The end token's hash, and the number that stands before a text; words are numbered from 1.
 END, BEGIN = np.uint64(1), np.uint64(0)
