@@ -33,7 +33,7 @@ from lexweave.session import cut_lineage  # noqa: E402
 from lexweave.sources import corpus, standin, text_formats  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
-VOCAB, DIM, SMALL = oracles.VOCAB, oracles.DIM, oracles.SMALL
+VOCAB, DIM, SMALL, CUT_RANK = oracles.VOCAB, oracles.DIM, oracles.SMALL, oracles.CUT_RANK
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +210,28 @@ def _small_matrix(spark, sf_dir):
     return cut_lineage(matrix.load_matrix(_tagged(spark, sf_dir, SMALL).ppmi()))
 
 
+def svd_rank_cut(spark, sf_dir):
+    """A rank far below the matrix's: orthonormal U and V, U'AV the singular values, less energy than A."""
+    cells = cut_lineage(matrix.load_matrix(_tagged(spark, sf_dir).ppmi()))
+    svd = lowrank.randomized_svd(cells, CUT_RANK)
+    rank = len(svd.values)
+    left, right = cut_lineage(svd.left), cut_lineage(svd.right)
+    identity = np.eye(rank)
+    off = [float(np.abs(lowrank.gram(side, identity, identity) - identity).max()) for side in (left, right)]
+    projected = lowrank.product(cells, "col", "row", left, rank).withColumnRenamed("vec", "image")
+    core = lowrank.gram(projected.join(right, "idx"), identity, identity, "image", "vec")
+    gap = float(np.abs(core - np.diag(svd.values)).max() / svd.values.max())
+    energy = F.lit(float((svd.values**2).sum()))
+    return cells.agg(F.sum(F.col("val") * F.col("val")).alias("total")).select(
+        F.lit(rank).alias("rank"),
+        _round(F.lit(off[0])).alias("left_off"),
+        _round(F.lit(off[1])).alias("right_off"),
+        _round(F.lit(gap)).alias("middle_off"),
+        (energy <= F.col("total")).alias("within"),
+        F.round("total", 6).alias("total"),
+    )
+
+
 def _rebuilt(cells: DataFrame, factors: lowrank.Factors, values) -> DataFrame:
     """The factorisation's value at every stored cell."""
     weights = F.array(*[F.lit(float(v)) for v in values])
@@ -336,15 +358,29 @@ def _normal_equations(samples: pa.Table, fitted: pa.Table) -> pa.Table:
 
 def train_modifiers(spark, sf_dir):
     trained = _trained(spark, sf_dir)
-    modifiers = cut_lineage(trained.modifiers)
+    return _checked_fits(trained.samples, cut_lineage(trained.modifiers))
+
+
+def _checked_fits(samples: DataFrame, modifiers: DataFrame) -> DataFrame:
     keys = ["label", "word"]
     schema = "label string, word string, n_samples bigint, a_norm2 double, p_along_a double, off_normal double, gcv_least boolean"
-    checked = trained.samples.select(*keys, "p", "a").groupBy(*keys).cogroup(modifiers.groupBy(*keys))
+    checked = samples.select(*keys, "p", "a").groupBy(*keys).cogroup(modifiers.groupBy(*keys))
     rows = checked.applyInArrow(_normal_equations, schema)
     places = {"a_norm2": 4, "p_along_a": 4, "off_normal": 6}
     return rows.withColumns({name: _round(name, n) for name, n in places.items()})
 
 
+def ridge_full(spark, sf_dir):
+    """All 64 components: the first half as arguments, the second as targets."""
+    e = F.col("embedding")
+    samples = _embeddings(spark, sf_dir).select(
+        F.lit("full").alias("label"), F.col("label").cast("string").alias("word"), F.col("vec_id").alias("arg"),
+        F.slice(e, 33, 32).alias("p"), F.slice(e, 1, 32).alias("a"),
+    )
+    fits = ridge.ridge_fits(samples, ["label", "word"], ["arg"], best_only=True)
+    return _checked_fits(samples, fits)
+
+
 def _planar_parts(spark, sf_dir):
     """Trees over the embeddings' first two components, with the matrices fitted to them.
 
@@ -558,11 +594,13 @@ QUERIES: tuple[Query, ...] = (
     randomized_svd,
     randomized_eigen,
     randomized_pca,
+    svd_rank_cut,
     word_vectors,
     phrase_vectors,
     train_samples,
     ridge_modifiers,
     gcv_lambda,
+    ridge_full,
     train_modifiers,
     rule_tokens,
     dep_depth,

@@ -6,6 +6,7 @@ WINDOW = 3
 VOCAB = 1000
 DIM = 500
 SMALL = 64
+CUT_RANK = 24
 
 # Lines, and plain tokens (empty ones dropped).
 LINES = """
@@ -744,6 +745,16 @@ planar AS (
 
 ORACLES.update(
     {
+        "svd_rank_cut": with_(
+            word_matrix(DIM),
+            f"""SELECT {CUT_RANK}::INT AS rank, 0.0::DOUBLE AS left_off, 0.0::DOUBLE AS right_off, 0.0::DOUBLE AS middle_off,
+  true AS within, round(sum(val * val), 6) AS total FROM mat""",
+        ),
+        "ridge_full": """
+WITH s AS (SELECT label, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS p FROM embeddings)
+SELECT 'full' AS label, label::VARCHAR AS word, count(*)::BIGINT AS n_samples,
+  round(sum(list_dot_product(a, a)), 4) AS a_norm2, round(sum(list_dot_product(p, a)), 4) AS p_along_a,
+  0.0::DOUBLE AS off_normal, true AS gcv_least FROM s GROUP BY label""",
         "compose_planar": with_(
             PLANAR, "SELECT rule_id, side, frag, status, round(x, 6) AS x, round(y, 6) AS y FROM planar"
         ),

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.arrays import pairs_at_distance, windows_with_halo
-from lexweave.scale import BROADCAST_ROWS, lookup_join
+from lexweave.scale import BROADCAST_ROWS, fits_broadcast, lookup_join
 from lexweave.session import cut_lineage
 from lexweave.sources.corpus import valid_terms
 
@@ -88,6 +93,28 @@ def tagged_index_pair_counts(
 # Plain corpus: words outside the vocabulary vanish first, so the window spans over them.
 
 
+def _encoded(token_arrays: DataFrame, words: DataFrame) -> DataFrame:
+    """``items``: the vocabulary indices of each line. ``words`` was checked to be small."""
+    rows = words.collect()
+    table = pa.array([r.term for r in rows], pa.string()), np.array([r.idx for r in rows], np.int64)
+    shared = token_arrays.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, numbers = shared.value
+        for batch in batches:
+            lines = batch.column(0)
+            found = pc.index_in(lines.flatten(), value_set=terms)
+            known = found.is_valid().to_numpy(zero_copy_only=False)
+            before = np.concatenate([[0], np.cumsum(known)])
+            sizes = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False)
+            offsets = before[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+            values = numbers[found.drop_null().to_numpy(zero_copy_only=False)]
+            items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([items], names=["items"])
+
+    return token_arrays.select("tokens").mapInArrow(run, "items array<bigint>")
+
+
 def plain_sequences(
     token_arrays: DataFrame,
     vocab: DataFrame,
@@ -97,10 +124,16 @@ def plain_sequences(
 ) -> DataFrame:
     """``(own, items)``: vocabulary indices of each piece, followed by the next ``window`` ones.
 
-    ``own`` elements of ``items`` belong to the piece. A line is regrouped piece by piece, so no
-    group exceeds ``piece`` tokens; only the few leading indices of each piece of a long line go
-    through a window over that line.
+    ``own`` elements of ``items`` belong to the piece. With a vocabulary of checked size the words
+    of a line are encoded inside the row, and nothing is shuffled. Beyond that a line is regrouped
+    piece by piece, so no group exceeds ``piece`` tokens; only the few leading indices of each
+    piece of a long line go through a window over that line.
     """
+    words = vocab.select("term", "idx")
+    if fits_broadcast(words, max_broadcast_rows):
+        encoded = _encoded(token_arrays, words)
+        cut = encoded.select(F.explode(windows_with_halo(F.col("items"), piece, window)).alias("items"))
+        return cut.select(F.least(F.size("items"), F.lit(piece)).alias("own"), "items")
     pieces = token_arrays.select(
         "doc_id",
         "line_no",
