@@ -394,7 +394,7 @@ def _planar_parts(spark, sf_dir):
 
     words = table.select(word(F.col("vec_id")).alias("term"), F.slice("embedding", 1, 2).alias("vec"))
     fits = ridge.ridge_fits(_planar_samples(spark, sf_dir), ["label"], ["vec_id"], best_only=True)
-    labels = F.when(F.col("label") % 2 == 0, F.array(F.lit("amod"), F.lit("dobj"))).otherwise(F.array(F.lit("amod")))
+    labels = F.when(F.col("label") % 5 != 0, F.array(F.lit("amod"), F.lit("dobj"))).otherwise(F.array(F.lit("amod")))
     modifiers = fits.select(word(F.col("label")).alias("word"), F.explode(labels).alias("label"), "mat")
     g = F.floor(F.col("vec_id") / 4)
     head, object_ = word(g % 10), word(g * 7 % 10)
@@ -509,6 +509,17 @@ def _scored(spark, sf_dir):
     return rules.rule_scores(table, cut_lineage(_composed(spark, sf_dir)))
 
 
+def matched_planar(spark, sf_dir):
+    """The matched fragments of ``score_planar`` with their expressions and vectors."""
+    nodes, words, modifiers = _planar_parts(spark, sf_dir)
+    fragments = cut_lineage(compose.compose(nodes, words, modifiers))
+    scores = rules.rule_scores(nodes.select("rule_id").distinct(), fragments)
+    texts = nodes.where("node = 0").select("rule_id", "side", "frag", F.col("word").alias("expr"))
+    rows = rules.matched_vectors(scores, texts, fragments)
+    x, y = (F.get("vec", F.lit(i)) for i in (0, 1))
+    return rows.select("rule_id", "place", "side", "expr", _round(x).alias("x"), _round(y).alias("y"))
+
+
 def rule_status(spark, sf_dir):
     count = F.coalesce(F.size("matches"), F.lit(0)).cast("bigint")
     n_matches = F.when(F.col("matches").isNull(), F.lit(0).cast("bigint")).otherwise(count)
@@ -615,6 +626,7 @@ QUERIES: tuple[Query, ...] = (
     rule_scores,
     compose_planar,
     score_planar,
+    matched_planar,
     counts_reloaded,
     triplets_reloaded,
     matrix_ppmi,

@@ -728,7 +728,7 @@ firsts AS (
          h.y + CASE WHEN g % 3 = 0 THEN c.y ELSE m21 * c.x + m22 * c.y END AS y, h.x AS hx, h.y AS hy
   FROM g JOIN v h ON h.vec_id = g % 10 JOIN best b ON b.label = g % 10 JOIN v c ON c.vec_id = g * 4 + 1),
 joined AS (
-  SELECT f.g, (f.g % 11 = 5 AND f.g % 3 <> 0) OR f.g % 10 % 2 = 1 AS bad,
+  SELECT f.g, (f.g % 11 = 5 AND f.g % 3 <> 0) OR f.g % 10 % 5 = 0 AS bad,
          CASE WHEN f.g % 11 = 5 THEN f.hx ELSE f.x / sqrt(f.x * f.x + f.y * f.y) END AS ax,
          CASE WHEN f.g % 11 = 5 THEN f.hy ELSE f.y / sqrt(f.x * f.x + f.y * f.y) END AS ay,
          o.x / sqrt(o.x * o.x + o.y * o.y) AS ox, o.y / sqrt(o.x * o.x + o.y * o.y) AS oy
@@ -743,24 +743,9 @@ planar AS (
          CASE WHEN NOT bad THEN y / sqrt(x * x + y * y) END AS y FROM added)"""
 )
 
-ORACLES.update(
-    {
-        "svd_rank_cut": with_(
-            word_matrix(DIM),
-            f"""SELECT {CUT_RANK}::INT AS rank, 0.0::DOUBLE AS left_off, 0.0::DOUBLE AS right_off, 0.0::DOUBLE AS middle_off,
-  true AS within, round(sum(val * val), 6) AS total FROM mat""",
-        ),
-        "ridge_full": """
-WITH s AS (SELECT label, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS p FROM embeddings)
-SELECT 'full' AS label, label::VARCHAR AS word, count(*)::BIGINT AS n_samples,
-  round(sum(list_dot_product(a, a)), 4) AS a_norm2, round(sum(list_dot_product(p, a)), 4) AS p_along_a,
-  0.0::DOUBLE AS off_normal, true AS gcv_least FROM s GROUP BY label""",
-        "compose_planar": with_(
-            PLANAR, "SELECT rule_id, side, frag, status, round(x, 6) AS x, round(y, 6) AS y FROM planar"
-        ),
-        "score_planar": with_(
-            PLANAR
-            + """,
+PLANAR_STEPS = (
+    PLANAR
+    + """,
 sides AS (
   SELECT rule_id, count(*) FILTER (side = 'L') AS l, count(*) FILTER (side = 'R') AS r,
          count(*) FILTER (side = 'L' AND status = 'ok') AS lu, count(*) FILTER (side = 'R' AND status = 'ok') AS ru,
@@ -778,7 +763,36 @@ steps AS (
   SELECT rule_id, 0 AS place, rest FROM start
   UNION ALL
   SELECT rule_id, place + 1, list_filter(rest, lambda p: p.i <> rest[1].i AND p.j <> rest[1].j)
-  FROM steps WHERE len(rest) > 0)""",
+  FROM steps WHERE len(rest) > 0)"""
+)
+
+ORACLES.update(
+    {
+        "matched_planar": with_(
+            PLANAR_STEPS,
+            """SELECT p.rule_id, t.place, p.side,
+  'w' || ((p.rule_id * 4 + (p.frag - 1) * 2 + CASE WHEN p.side = 'R' THEN 1 ELSE 0 END) % 10) AS expr,
+  round(p.x, 6) AS x, round(p.y, 6) AS y
+FROM steps t JOIN planar p ON p.rule_id = t.rule_id
+ AND ((p.side = 'L' AND p.frag = t.rest[1].i) OR (p.side = 'R' AND p.frag = t.rest[1].j))
+WHERE len(t.rest) > 0""",
+            recursive=True,
+        ),
+        "svd_rank_cut": with_(
+            word_matrix(DIM),
+            f"""SELECT {CUT_RANK}::INT AS rank, 0.0::DOUBLE AS left_off, 0.0::DOUBLE AS right_off, 0.0::DOUBLE AS middle_off,
+  true AS within, round(sum(val * val), 6) AS total FROM mat""",
+        ),
+        "ridge_full": """
+WITH s AS (SELECT label, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS p FROM embeddings)
+SELECT 'full' AS label, label::VARCHAR AS word, count(*)::BIGINT AS n_samples,
+  round(sum(list_dot_product(a, a)), 4) AS a_norm2, round(sum(list_dot_product(p, a)), 4) AS p_along_a,
+  0.0::DOUBLE AS off_normal, true AS gcv_least FROM s GROUP BY label""",
+        "compose_planar": with_(
+            PLANAR, "SELECT rule_id, side, frag, status, round(x, 6) AS x, round(y, 6) AS y FROM planar"
+        ),
+        "score_planar": with_(
+            PLANAR_STEPS,
             """SELECT s.rule_id, s.status, CASE s.status WHEN 'failed' THEN -2.0 WHEN 'no_vector' THEN -1.0
   ELSE round(mean, 6) END AS mean_sim, t.place, round(t.rest[1].sim, 6) AS sim,
   t.rest[1].i AS l_frag, t.rest[1].j AS r_frag
@@ -827,6 +841,7 @@ SIGNED = {
     "train_samples": ("p_norm2", "p_along_a"),
     "ridge_modifiers": ("m11", "m12", "m21", "m22"),
     "compose_planar": ("x", "y"),
+    "matched_planar": ("x", "y"),
     "train_modifiers": ("p_along_a",),
 }
 for _name, _columns in SIGNED.items():
