@@ -26,7 +26,11 @@ def _captures(pages):
     """Crawl records of the pages: a response, a revisit, for some a changed response, a late and an early revisit."""
     tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
     modified = F.concat(F.lit("day "), F.col("page_id").cast("string"))
-    no_text = F.lit(None).cast("string")
+    # Bodies stay where they are; their digest and length travel.
+    none = F.lit(None).cast("struct<md5:string,chars:bigint>")
+
+    def body(text):
+        return F.struct(F.md5(text).alias("md5"), F.length(text).cast("long").alias("chars"))
 
     def record(number, offset, kind, url, etag, length, payload, cache, kept=F.lit(True)):
         time = F.col("page_id") * 10 + offset
@@ -39,11 +43,11 @@ def _captures(pages):
     new_tag = F.concat(F.lit('"2-'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
     late_tag = F.when(F.col("page_id") % 5 != 0, tag)
     records = F.array(
-        record(0, 0, "response", F.col("url"), tag, F.length("html"), F.col("html"), "max-age=60"),
-        record(1, 3, "revisit", F.concat("url", F.lit("#again")), F.concat(F.lit("W/"), tag), F.lit(None), no_text, "max-age=600"),
-        record(2, 5, "response", F.col("url"), new_tag, F.length(changed), changed, "no-store", F.col("page_id") % 3 == 0),
-        record(3, 7, "revisit", F.regexp_replace("url", "^https?", "http"), late_tag, F.lit(None), no_text, "max-age=700"),
-        record(4, -5, "revisit", F.col("url"), tag, F.lit(None), no_text, "max-age=800", F.col("page_id") % 7 == 0),
+        record(0, 0, "response", F.col("url"), tag, F.length("html"), body(F.col("html")), "max-age=60"),
+        record(1, 3, "revisit", F.concat("url", F.lit("#again")), F.concat(F.lit("W/"), tag), F.lit(None), none, "max-age=600"),
+        record(2, 5, "response", F.col("url"), new_tag, F.length(changed), body(changed), "no-store", F.col("page_id") % 3 == 0),
+        record(3, 7, "revisit", F.regexp_replace("url", "^https?", "http"), late_tag, F.lit(None), none, "max-age=700"),
+        record(4, -5, "revisit", F.col("url"), tag, F.lit(None), none, "max-age=800", F.col("page_id") % 7 == 0),
     )
     return pages.select(F.explode(records).alias("r")).where("r IS NOT NULL").select("r.*")
 
@@ -58,8 +62,8 @@ def op3_revisit_resolution(spark, sf_dir):
         "status",
         "base_id",
         F.array_join(fields, ";").alias("header_fields"),
-        F.md5("payload").alias("payload_md5"),
-        F.length("payload").cast("long").alias("payload_chars"),
+        F.col("payload.md5").alias("payload_md5"),
+        F.col("payload.chars").alias("payload_chars"),
     )
 
 

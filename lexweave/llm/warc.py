@@ -1,7 +1,8 @@
 """Resolution of not-modified revisits against the latest earlier full response of the same address.
 
 Records have ``record_id, url, time, kind`` (``response`` or ``revisit``), ``etag``, ``last_modified``,
-``headers`` (map of lower-case names) and ``payload``. An as-of join by canonical address finds, for every
+``headers`` (map of lower-case names) and ``payload``, a body or, to keep bodies out of the sort, its
+place or digest. An as-of join by canonical address finds, for every
 revisit, the response with the largest ``(time, record_id)`` below its own. The revisit is ``resolved`` if
 the validators agree (entity tags compared weakly; only where either side has none, the modification
 dates), else ``mismatch``; without an earlier response it is ``orphan``. A resolved revisit takes the
