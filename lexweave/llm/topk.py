@@ -5,8 +5,10 @@ distributed Gram matrix), and are range-partitioned by falling length. Queries c
 ``QUERY_BLOCK``. The ``SEEDS`` longest vectors give each query a first threshold; every task then walks its
 vectors from long to short and skips a pair when ``|q| |v|``, and after that the partial sum over the
 leading rotated components plus the product of the residual lengths, stays below the query's threshold
-(Cauchy-Schwarz). Survivors are scored exactly on the integers, thresholds rise with what a task has
-found, and a task stops once the first bound fails for all queries. Equal scores are never skipped.
+(Cauchy-Schwarz). Survivors are scored exactly on the integers and thresholds rise with what a task has
+found. A step whose longest vector fails the first bound for all queries is skipped by the lengths alone;
+later steps are still looked at, as a task may read several ranges in any order. Equal scores are never
+skipped.
 
 A vector that is null or holds a null or non-finite component takes no part, nor does a null id as a
 query; missing trailing components count as zero. Every row but the query's own is a candidate, repeated
@@ -117,12 +119,16 @@ class Found:
         if len(order) == self.k:
             self.least[query] = max(self.least[query], scores[order[-1]])
 
+    def reach(self, longest: float):
+        """Allowance for rounding, and the queries for which a vector of this length can matter."""
+        slack = 1e-9 * self.queries.norm * longest + 1e-6
+        return slack, np.flatnonzero(self.queries.norm * longest + slack >= self.least)
+
     def step(self, rows: np.ndarray, ids: np.ndarray, exact: np.ndarray) -> bool:
-        """Take vectors, the longest first; False when no shorter vector can matter."""
+        """Take vectors of any lengths; False when neither these nor shorter ones can matter."""
         queries = self.queries
         norm, head, rest = queries.parts(exact)
-        slack = 1e-9 * queries.norm * norm.max(initial=0) + 1e-6
-        active = np.flatnonzero(queries.norm * norm.max(initial=0) + slack >= self.least)
+        slack, active = self.reach(norm.max(initial=0))
         if not len(active):
             return False
         bound = head @ queries.head[active].T + rest[:, None] * queries.rest[active][None, :]
@@ -161,7 +167,7 @@ def search(vectors: DataFrame, k: int = K, every: int = 20, block: int = QUERY_B
         own.least = first.least
         shared = spark.sparkContext.broadcast(own)
 
-        part = table.select("row", "vec_id", "vec").mapInArrow(_walk(shared), "row bigint, query_id bigint, vec_id bigint, score bigint")
+        part = table.select("row", "vec_id", "norm2", "vec").mapInArrow(_walk(shared), "row bigint, query_id bigint, vec_id bigint, score bigint")
         found = part if found is None else found.unionByName(part)
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -169,20 +175,17 @@ def search(vectors: DataFrame, k: int = K, every: int = 20, block: int = QUERY_B
 
 
 def _walk(shared):
-    """A task over vectors that fall in length."""
+    """A task over ranges of vectors, in each of which they fall in length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Found(shared.value)
         for batch in batches:
             batch = batch.filter(batch.column(1).is_valid())
-            more = True
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
-                more = best.step(part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(part.column(2).to_pylist(), shared.value.dim))
-                if not more:
-                    break
-            if not more:
-                break
+                _, active = best.reach(float(np.sqrt(part.column(2).to_numpy().max())))
+                if len(active):
+                    best.step(part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(part.column(3).to_pylist(), shared.value.dim))
         sizes = np.array([len(s) for s in best.score], np.int64)
         if sizes.sum():
             of = np.repeat(np.arange(len(sizes)), sizes)

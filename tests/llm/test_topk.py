@@ -59,3 +59,33 @@ def test_most_pairs_are_skipped():
     for query in range(20):
         own = np.delete(scores[:, query], query * 200)
         assert found.score[query].tolist() == sorted(own.tolist(), reverse=True)[:5]
+
+
+def test_one_task_reads_short_ranges_before_long_ones(spark):
+    """Files are packed by size: many different short vectors make larger files than long ones that repeat."""
+    rng = np.random.default_rng(5)
+    long_rows = [(i, [float(300 + i % 3 if j == i % 8 else 0) for j in range(8)]) for i in range(600)]
+    short_rows = [(1000 + i, (rng.normal(size=8) / 4).tolist()) for i in range(5400)]
+    settings = {
+        "spark.sql.shuffle.partitions": "10",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.files.minPartitionNum": "1",
+        "spark.sql.files.openCostInBytes": "1m",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        ours, rows = [], long_rows + short_rows
+        monitor = topk.cut_lineage
+        topk.cut_lineage = lambda df: ours.append(monitor(df)) or ours[-1]
+        try:
+            found = search(spark, rows, k=5, every=200)
+        finally:
+            topk.cut_lineage = monitor
+        lengths = ours[0].select("norm2").toPandas()["norm2"].to_numpy()
+        assert ours[0].rdd.getNumPartitions() == 1 and (np.diff(lengths) > 0).any()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert found == brute(rows, 5, 200)
