@@ -6,8 +6,10 @@ is fitted on a bounded sample of labelled documents, whose lines all carry the d
 maximising the exact conditional likelihood (forward-backward) with L-BFGS steps. A document's score
 is the mean of its lines' marginals for good, weighted by line length plus one.
 
-Bounds of the fit, both parameters: ``SAMPLE`` documents, taken by the smallest hash of id among the
-labelled, and ``SAMPLE_LINES`` lines of each. Scoring reads whole texts. Only the text enters a score.
+Bound of the fit, a parameter: ``SAMPLE`` documents, taken by the smallest hash of id among the labelled.
+Fit and scoring both read whole texts. A sample of more than ``FIT_LINES`` lines stays in a table, and
+every step sums likelihood and gradient over it in Spark; a smaller one is fitted by the same steps in the
+driver. Only the text enters a score.
 A null or empty text is one empty line; ids that are null have no label. Repeated rows each get a row.
 Of several labels of an id the largest counts. Without labels every score is 0.5.
 """
@@ -23,8 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexweave.llm.common import mix, pieces, streams, utf8
+from lexweave.session import cut_lineage
 
-SAMPLE, SAMPLE_LINES = 4000, 100
+SAMPLE = 4000
+# Lines of a sample that the driver fits by itself, and about so many that a task works on at once.
+FIT_LINES, TASK_LINES = 250_000, 16_384
 # Bytes of text measured at once: a text of line breaks alone has as many lines as bytes.
 LINE_PIECE = 512 << 10
 RIDGE, STEPS = 1e-3, 120
@@ -51,8 +56,21 @@ N_OWN = N_CLASSES + 7
 N_FEATURES = 3 * N_OWN + 3
 
 
+def widened(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Features of lines: their own measures, those of their neighbours in the text, its edges."""
+    n = len(own)
+    nothing = np.zeros((1, N_OWN), np.float32)
+    before = np.vstack([nothing, own[:-1]])
+    after = np.vstack([own[1:], nothing])
+    opens, closes = np.zeros(n, np.bool_), np.zeros(n, np.bool_)
+    opens[first[:-1]], closes[first[1:] - 1] = True, True
+    before[opens], after[closes] = 0, 0
+    edges = np.column_stack([opens, closes, np.ones(n)]).astype(np.float32)
+    return np.hstack([own, before, after, edges])
+
+
 class Lines:
-    """Lines of a piece of texts: ``first`` line per text, byte ``lengths`` and ``features``."""
+    """Lines of a piece of texts: ``first`` line per text, byte ``lengths``, ``own`` measures and ``features``."""
 
     def __init__(self, data: np.ndarray, places: np.ndarray):
         base = int(places[0])
@@ -67,9 +85,10 @@ class Lines:
         # Equal starts sort stably, so each line's text ends at its break or its text's end.
         self.lengths = np.maximum(np.minimum(end, places[doc + 1]) - begin, 0)
         self.lengths -= (self.lengths > 0) & (data[np.minimum(begin + self.lengths - 1, max(len(data) - 1, 0))] == 10) if len(data) else 0
-        self.features = self._features(data, begin, doc)
+        self.own = self._own(data, begin, doc)
+        self.features = widened(self.own, self.first)
 
-    def _features(self, data: np.ndarray, begin: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def _own(self, data: np.ndarray, begin: np.ndarray, doc: np.ndarray) -> np.ndarray:
         kinds, lengths = CLASSES[data], self.lengths
         n = len(begin)
         shares = np.zeros((n, N_CLASSES), np.float32)
@@ -86,7 +105,7 @@ class Lines:
         again = np.zeros(n, np.bool_)
         again[order[1:]] = hashed[order[1:]] == hashed[order[:-1]]
         again[order[:-1]] |= hashed[order[1:]] == hashed[order[:-1]]
-        own = np.column_stack(
+        return np.column_stack(
             [
                 shares / size,
                 np.log1p(lengths) / 5,
@@ -98,14 +117,6 @@ class Lines:
                 lengths == 0,
             ]
         ).astype(np.float32)
-        nothing = np.zeros((1, N_OWN), np.float32)
-        before = np.vstack([nothing, own[:-1]])
-        after = np.vstack([own[1:], nothing])
-        opens, closes = np.zeros(n, np.bool_), np.zeros(n, np.bool_)
-        opens[self.first[:-1]], closes[self.first[1:] - 1] = True, True
-        before[opens], after[closes] = 0, 0
-        edges = np.column_stack([opens, closes, np.ones(n)]).astype(np.float32)
-        return np.hstack([own, before, after, edges])
 
     @staticmethod
     def _hashes(data, begin, lengths, doc) -> np.ndarray:
@@ -178,7 +189,16 @@ class Field:
         return good, pairs, total
 
     def loss(self, features, first, labels, ridge: float = RIDGE):
-        """Mean negative log-likelihood per text and its gradient; ``labels`` per line, ``share`` per text."""
+        """Mean negative log-likelihood per text with the penalty, and its gradient; ``labels`` per line."""
+        return self.penalised(*self.sums(features, first, labels), len(first) - 1, ridge)
+
+    def penalised(self, value, gradient, n: int, ridge: float = RIDGE):
+        """Means over ``n`` texts with the penalty, from their sums."""
+        n = max(n, 1)
+        return value / n + ridge / 2 * (self.weights**2).sum(), gradient / n + ridge * self.weights
+
+    def sums(self, features, first, labels):
+        """Negative log-likelihood of the texts, each divided by its lines, and its gradient."""
         good, pairs, total = self.marginals(features, first)
         link = self.weights[N_FEATURES:].reshape(2, 2)
         inner = np.ones(len(labels), np.bool_)
@@ -194,18 +214,21 @@ class Field:
         observed = np.zeros((2, 2))
         np.add.at(observed, (a, b), line_weight[rows])
         expected = (pairs * line_weight[rows][:, None, None]).sum(axis=0)
-        gradient = np.concatenate([features.T @ ((good - labels) * line_weight), (expected - observed).ravel()])
-        n = max(len(sizes), 1)
-        return value / n + ridge / 2 * (self.weights**2).sum(), gradient / n + ridge * self.weights
+        return value, np.concatenate([features.T @ ((good - labels) * line_weight), (expected - observed).ravel()])
 
 
 def fit(features: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> Field:
-    """L-BFGS with a halving line search from zero weights."""
-    field = Field()
+    """The field of lines in memory."""
     if not len(labels) or labels.min() == labels.max():
-        return field
+        return Field()
+    return descend(lambda field: field.loss(features, first, labels), steps)
+
+
+def descend(loss, steps: int = STEPS) -> Field:
+    """L-BFGS with a halving line search from zero weights; ``loss`` gives value and gradient of a field."""
+    field = Field()
     x = field.weights
-    value, gradient = field.loss(features, first, labels)
+    value, gradient = loss(field)
     history: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
         step, used = gradient.copy(), []
@@ -220,7 +243,7 @@ def fit(features: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int
         length = 1.0 if history else min(1.0, 1 / np.abs(gradient).sum())
         for _ in range(30):
             trial = Field(x - length * step)
-            trial_value, trial_gradient = trial.loss(features, first, labels)
+            trial_value, trial_gradient = loss(trial)
             if trial_value <= value - 1e-4 * length * (gradient @ step):
                 break
             length /= 2
@@ -251,30 +274,67 @@ def held_out(name: str = "doc_id"):
     return crc % FOLDS == HELD_OUT
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Field:
-    """The field fitted on the sample."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_lines: int = FIT_LINES) -> Field:
+    """The field fitted on the whole texts of the sample."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rank = F.xxhash64("doc_id", F.lit("sample"))
     chosen = known.where(~held_out()).orderBy(rank, "doc_id").limit(sample)
-    head = F.array_join(F.slice(F.split("text", "\n", sample_lines + 1), 1, sample_lines), "\n")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    texts = rows.select("doc_id", "quality", F.coalesce(head, F.lit("")).alias("text"))
+    texts = rows.select("doc_id", (F.col("quality") > 0).cast("int").alias("good"), "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, LINE_PIECE):
             lines = Lines(*utf8(piece.column(2)))
-            blob = [lines.features[a:b].astype("<f4").tobytes() for a, b in zip(lines.first, lines.first[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(blob, pa.binary())], names=["doc_id", "quality", "lines"])
+            blob = [lines.own[a:b].astype("<f4").tobytes() for a, b in zip(lines.first, lines.first[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(blob, pa.binary())], names=["doc_id", "good", "lines"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(measure, f"doc_id {id_type}, quality int, lines binary").groupBy("doc_id").agg(F.min(F.struct("lines", "quality")).alias("m")).select("m.*").limit(sample).collect()
-    found.sort(key=lambda r: r["lines"])
-    parts = [np.frombuffer(r["lines"], "<f4").reshape(-1, N_FEATURES) for r in found]
-    if not parts:
+    measured = texts.mapInArrow(measure, f"doc_id {id_type}, good int, lines binary")
+    table = cut_lineage(measured.groupBy("doc_id").agg(F.min(F.struct("lines", "good")).alias("m")).select("m.good", "m.lines"))
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("lines")).alias("bytes"), F.min("good").alias("low"), F.max("good").alias("high")).first()
+    if not size["n"] or size["low"] == size["high"]:
         return Field()
-    sizes = np.array([len(p) for p in parts])
-    good = np.repeat(np.array([int(r["quality"] > 0) for r in found]), sizes)
-    return fit(np.vstack(parts).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)]), good)
+    if size["bytes"] > fit_lines * 4 * N_OWN:
+        return descend(_summed(table, size["n"]))
+    # At most ``sample`` texts with ``fit_lines`` lines together.
+    found = sorted(table.collect(), key=lambda r: r["lines"])
+    return fit(*_sample([r["lines"] for r in found], [r["good"] for r in found]))
+
+
+def _sample(blobs: list[bytes], good: list[int]):
+    """Features, first lines and a label per line of whole texts."""
+    own = [np.frombuffer(b, "<f4").reshape(-1, N_OWN) for b in blobs]
+    sizes = np.array([len(o) for o in own])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    return widened(np.vstack(own), first).astype(np.float64), first, np.repeat(np.array(good), sizes)
+
+
+def _summed(table: DataFrame, n: int):
+    """The loss of a field over ``table``: every task sums its texts, the driver adds one row per task."""
+
+    def loss(field: Field):
+        weights = field.weights
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, total = Field(weights), np.zeros(1 + len(weights))
+            for batch in batches:
+                good, lines = batch.column(0).to_pylist(), batch.column(1)
+                # Texts of like size step together.
+                sizes = np.array([len(lines[i].as_buffer()) // (4 * N_OWN) for i in range(len(good))], np.int64)
+                order, begin = np.argsort(sizes, kind="stable"), 0
+                while begin < len(order):
+                    end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[order[begin:]]), TASK_LINES, "right")))
+                    at = order[begin:end]
+                    value, gradient = own.sums(*_sample([lines[int(i)].as_py() for i in at], [good[i] for i in at]))
+                    total += np.concatenate([[value], gradient])
+                    begin = end
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        parts = [np.frombuffer(r["total"]) for r in table.select("good", "lines").mapInArrow(run, "total binary").collect()]
+        total = np.sum(parts, axis=0)
+        return field.penalised(total[0], total[1:], n)
+
+    return loss
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:

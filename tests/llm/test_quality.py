@@ -74,3 +74,28 @@ def test_edges(spark):
     kept = quality.keep(docs, field, 0.4)
     assert kept.columns == docs.columns and kept.count() == 6
     assert quality.keep(docs.where(F.lit(False)), field).count() == 0
+
+
+def test_fit_reads_whole_texts(spark):
+    """Texts that differ only after line 100; the fit equals one on whole texts, in the driver and summed in Spark."""
+    rng = np.random.default_rng(3)
+    words = ["river", "stone", "walks", "under", "bright", "early", "quiet"]
+
+    def clean(n):
+        return [" ".join(rng.choice(words, 6)) + "." for _ in range(n)]
+
+    texts = {}
+    for doc in range(60):
+        tail = ["$$$ BUY NOW!!! | | |", "click click click"] * 20 if doc % 2 else clean(40)
+        texts[doc] = "\n".join(clean(105 + doc % 7) + tail)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(doc, 1 - doc % 2) for doc in texts], "doc_id long, quality int")
+    fitted = [r.doc_id for r in labels.where(~quality.held_out()).collect()]
+    lines = lines_of([texts[doc] for doc in fitted])
+    good = np.repeat([1 - doc % 2 for doc in fitted], np.diff(lines.first))
+    want = quality.fit(lines.features.astype(float), lines.first, good)
+    near = quality.train(docs, labels)
+    loss = [f.loss(lines.features.astype(float), lines.first, good)[0] for f in (want, near, quality.train(docs, labels, fit_lines=1000))]
+    assert max(loss) - min(loss) < 1e-5
+    found = {r.doc_id: r.score for r in quality.score(docs, near).collect()}
+    assert min(found[d] for d in found if d % 2 == 0) > max(found[d] for d in found if d % 2)
