@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexweave.llm import decontam, katz, packing, pii, quality, sharding, simhash, topk, toxicity, warc
+from lexweave.llm import decontam, katz, packing, pii, prefix_tree, quality, runs, sharding, simhash, topk, toxicity, warc, whitening
 from lexweave.llm.common import documents
 
 N_SHARDS = 40
@@ -106,7 +106,20 @@ def op10_toxicity_chain(spark, sf_dir):
     return found.select("doc_id", "held_out", "p_junk", F.col("p_toxic").alias("score"), toxic.alias("predicted"))
 
 
-QUERIES = (op1_hash_tree_shards, op2_line_crf_quality, op3_revisit_resolution, op4_vector_best_fit, op5_simhash_components, op6_prefix_join_decontamination, op7_norm_sorted_topk, op8_katz_backoff, op9_bootstrapped_contexts, op10_toxicity_chain)
+def op11_polarised_whitening(spark, sf_dir):
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+def op12_prefix_tree_join(spark, sf_dir):
+    found = prefix_tree.assign(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def op13_basic_factor_runs(spark, sf_dir):
+    return runs.digest(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = (op1_hash_tree_shards, op2_line_crf_quality, op3_revisit_resolution, op4_vector_best_fit, op5_simhash_components, op6_prefix_join_decontamination, op7_norm_sorted_topk, op8_katz_backoff, op9_bootstrapped_contexts, op10_toxicity_chain, op11_polarised_whitening, op12_prefix_tree_join, op13_basic_factor_runs)
 
 ORACLES = {
     "op3_revisit_resolution": r"""
