@@ -3,12 +3,12 @@
 A text's set holds its distinct word n-grams; two sets link when ``100 |A & B| >= percent |A | B|``.
 
 Which sets meet. Linked sets, the smaller of size ``a``, differ in at most ``d = a (100 - percent) / percent``
-n-grams. Sizes fall into bands; all sets of a band deal their n-grams by a hash over the same ``k`` parts, ``k``
-well above ``d``, and a set near a band's lower end does so in the band below too. At least ``k - d`` parts of
-linked sets are equal. The hash of each part with ``PART_TOKENS`` n-grams is a key; a set with too many
-smaller parts for one of them to be sure uses all of its parts. Sets that share a key, directly or through
-others, meet. Most texts meet nothing and leave here; only the sets of the others travel, once. A second
-dealing with other hashes splits the meetings further. No step drops a possible link.
+n-grams. Sizes fall into bands; all sets of a band deal their n-grams by a hash over the same parts, more
+than ``d``, and a set near a band's lower end does so in the band below too. Linked sets differ in at most
+``d`` parts, so the largest part (of equal ones the first) that is the same in both is among the ``d + 1`` largest
+of each: the hashes of these are a set's keys. Sets that share a key, directly or through others, meet. Most
+texts meet nothing and leave here; only the sets of the others travel, once. A second dealing with other
+hashes splits the meetings further. No step drops a possible link.
 
 How a meeting is joined. Its n-grams get one order, most frequent first; those of one set only are left
 out and count as length alone. The ordered sets are stored in a tree whose common beginnings are common
@@ -37,13 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.llm.common import PIECE_BYTES, Words, ascii_lower, components, mix, pieces, utf8
-from lexweave.scale import lookup_join
+from lexweave.scale import ROWS_PER_SALT, add_salt, lookup_join, replicate
 from lexweave.session import cut_lineage
 
 NGRAM, PERCENT = 3, 90
-# Parts are this many times as many as must be, so that small ones can be left out.
-PART_TOKENS, SLACK, BAND = 3, 1.3, 1.5
-CHUNK_TOKENS, CHUNK_SETS = 1 << 20, 2048
+# Parts are this many times as many as keys, so that small ones are left out; sizes of a band grow by ``BAND``.
+SLACK, BAND = 1.3, 1.5
+CHUNK_TOKENS, CHUNK_SETS = 1 << 19, 1024
 LOWER = ascii_lower()
 
 
@@ -113,12 +113,9 @@ def part_keys(grams: np.ndarray, first: np.ndarray, percent: int = PERCENT, seed
         total = _sums(mix(gram ^ np.uint64(0x5851F42D4C957F2D)), slot, int(begin[-1]))
         held = np.bincount(slot, minlength=int(begin[-1]))
         owner = np.repeat(np.arange(len(sets)), parts)
-        # ``parts - differ`` parts are equal in linked sets: with fewer small (empty) ones, one other is.
-        spare = parts - differ
-        few = np.bincount(owner[held < PART_TOKENS], minlength=len(sets)) >= spare
-        none = np.bincount(owner[held == 0], minlength=len(sets)) >= spare
-        used = (held >= PART_TOKENS) | (few[owner] & (held > 0)) | none[owner]
         number = np.arange(begin[-1]) - begin[:-1][owner]
+        order = np.lexsort((number, -held, owner))
+        used = order[np.arange(len(order)) - begin[:-1][owner] <= differ[owner]]
         name = mix(total + mix((number + 1).astype(np.uint64) + (band[owner].astype(np.uint64) << np.uint64(40))))
         out_set.append(sets[owner[used]])
         out_key.append(name[used])
@@ -154,10 +151,12 @@ def sketches(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> Dat
 
 def meetings(keyed: DataFrame) -> DataFrame:
     """``(node, root)`` of the sets ``id`` that share a ``key`` with another, directly or through others."""
-    least = keyed.groupBy("key").agg(F.min("id").alias("with"), F.max("id").alias("last"))
-    shared = cut_lineage(least.where("with < last").select("key", "with"))
-    met = lookup_join(keyed, shared, ["key"], ["id"]).where("id != with")
-    return components(met.select(F.col("id").alias("a"), F.col("with").alias("b")).distinct())
+    counted = keyed.groupBy("key").agg(F.min("id").alias("with"), F.count(F.lit(1)).alias("n"))
+    shared = cut_lineage(counted.where("n > 1"))
+    # Keys of very many sets are salted; every size goes through this one shuffle.
+    hot = cut_lineage(shared.where(F.col("n") > ROWS_PER_SALT).select("key", F.ceil(F.col("n") / ROWS_PER_SALT).cast("int").alias("_salts")))
+    met = add_salt(keyed, hot, ["key"], ["id"]).join(replicate(shared.select("key", "with"), hot, ["key"]), ["key", "_salt"])
+    return components(cut_lineage(met.where("id != with").select(F.col("id").alias("a"), F.col("with").alias("b")).distinct()))
 
 
 def _id_key() -> Column:
