@@ -11,7 +11,8 @@ would be placed there one after another. The plan therefore sees at most ``max_t
 many documents there are, and gives what best-fit over all pieces in one place gives. Spark does the
 rest: tokens, counts, a dense rank per length, and the lookup of (length, rank) in the plan.
 
-A null or empty text is the end id alone. Longer documents are cut into full pieces, the first of which
+A null or empty text is the end id alone. Texts with very long runs of blanks are encoded by a second
+library that has no limit on them. Longer documents are cut into full pieces, the first of which
 may be shorter; repeated rows and null ids are packed like others; an empty table gives no rows; other
 columns are ignored.
 """
@@ -19,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +35,9 @@ from lexweave.llm.common import numbered, pieces
 from lexweave.session import cut_lineage
 
 MAX_TOKENS, END_ID = 1024, 2
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY, PLAIN_VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+# ``encoder`` gives up on runs of a million blanks; texts with shorter ones leave it already.
+BLANKS = 100_000
 SPECIAL = {"<|endoftext|>": 50256}
 
 
@@ -48,9 +52,21 @@ def encoder(path: str | None = None):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+@lru_cache(maxsize=1)
+def plain_encoder(path: str | None = None):
+    """The same vocabulary in the library that takes blanks of any number."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path or public_tokenizers.path(PLAIN_VOCABULARY))
+
+
 def token_ids(text: str | None) -> np.ndarray:
     """Ids of a text and the end id, as little-endian unsigned 32-bit numbers."""
-    ids = encoder().encode_to_numpy(text, allowed_special="all") if text else []
+    if text and len(text) >= BLANKS and max((m.end() - m.start() for m in re.finditer(r"\s+", text)), default=0) >= BLANKS:
+        ids = plain_encoder().encode(text, add_special_tokens=False).ids
+    else:
+        ids = encoder().encode_to_numpy(text, allowed_special="all") if text else []
     return np.append(np.asarray(ids, "<u4"), np.array([END_ID], "<u4"))
 
 
@@ -150,18 +166,21 @@ def pack(cut_rows: DataFrame, capacity: tuple[int, int, int] | None = None, weig
     counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = Plan(counts, capacity, weights, rule)
     segments = np.array(plan.segments, np.int64).reshape(-1, 5)
-    segments = segments[np.lexsort((segments[:, 1], segments[:, 0]))]
-    keys = (segments[:, 0] << 46) + segments[:, 1]
-    shared = ranked.sparkSession.sparkContext.broadcast((keys, segments))
+    # A piece's key: its rank after all pieces of smaller length.
+    known = np.array(sorted(counts), np.int64)
+    base = np.cumsum([0, *(counts[n] for n in known.tolist())], dtype=np.int64)
+    keys = base[np.searchsorted(known, segments[:, 0])] + segments[:, 1]
+    order = np.argsort(keys)
+    shared = ranked.sparkSession.sparkContext.broadcast((known, base, keys[order], segments[order]))
     names = [c for c in ranked.columns if c != "_rank"]
     fields = [ranked.schema[c] for c in names]
     schema = StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, segments = shared.value
+        known, base, keys, segments = shared.value
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
-            of = segments[np.searchsorted(keys, (length << 46) + rank, "right") - 1]
+            of = segments[np.searchsorted(keys, base[np.searchsorted(known, length)] + rank, "right") - 1]
             inside = rank - of[:, 1]
             sequence, offset = of[:, 3] + inside // of[:, 2], of[:, 4] + inside % of[:, 2] * length
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]

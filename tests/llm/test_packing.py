@@ -106,3 +106,23 @@ def test_both_libraries_agree(text):
 
 def test_empty_table(spark):
     assert packing.pack(packing.cut(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_runs_of_millions_of_blanks():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for n, blank in ((packing.BLANKS - 1, " "), (1_000_000, " "), (1_000_000, "\n"), (5_000_000, " "), (5_000_000, "\n")):
+        text = f"a{blank * n}b c<|endoftext|>"
+        assert packing.token_ids(text).tolist() == [*other.encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
+def test_lengths_beyond_seventeen_bits(spark):
+    rng = random.Random(4)
+    capacity = (131_072, 131_072, 131_072**2)
+    rows = [(i, n) for i, n in enumerate([131_072, 131_072, 131_071, 131_070, 65_536] + [rng.randrange(1, 9) for _ in range(400)])]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), capacity).collect()
+    assert sorted((r.doc_id, r.length) for r in found) == rows
+    n_sequences = check_places(found, capacity)
+    assert n_sequences == len(one_by_one([n for _, n in rows], capacity, (1.0, 0.1, 0.1), "norm"))
