@@ -456,8 +456,9 @@ def phrase_highest_node(spark, sf_dir):
 
 
 def phrase_nodes(spark, sf_dir):
+    steps = F.transform("path", lambda i: F.concat(F.lit("."), F.lpad(i.cast("string"), 10, "0")))
     return trees.phrase_nodes(_placed(spark, sf_dir)).select(
-        "rule_id", "side", "frag", "node", "level", "path", "label", "word", "head"
+        "rule_id", "side", "frag", "node", "level", F.array_join(steps, "").alias("path"), "label", "word", "head"
     )
 
 
