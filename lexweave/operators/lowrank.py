@@ -1,8 +1,10 @@
 """Randomized low-rank factorisation of a sparse coordinate matrix, and dense projections.
 
-Tall factors stay DataFrames ``(idx, vec)``. Only rank-by-rank matrices reach the driver. A
-sparse row is cut into segments of bounded length, and each segment meets the few factor rows
-it needs in a co-grouped product.
+Tall factors stay DataFrames ``(idx, vec)``. Only rank-by-rank matrices reach the driver. The first
+pass multiplies whole sparse columns by a sparse sign matrix that every task derives from a seed.
+Tall factors are orthonormalised by a tree of QR factorisations, which, unlike their Gram matrix,
+keeps directions far below the largest. A factor too large for every worker meets segments of
+bounded length in a co-grouped product.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -26,6 +29,11 @@ from lexweave.session import cut_lineage
 # Fixed value: a column whose residual falls below this is dropped, with all later ones.
 RESIDUAL_EPS = 1e-4
 
+# Entries of each row of the sign matrix, and inner indices that one task may hold of a column.
+SIGNS, SIGN_ROWS = 8, 1 << 22
+# Triangles that one QR step stacks, and the share of the largest column that counts as rounding.
+FAN_IN, ROUNDING = 16, 1e-13
+
 # A factor up to this size is sent whole to the workers; cells gathered at once in a product.
 FACTOR_BYTES = 128 << 20
 GATHERED_CELLS = 200_000
@@ -104,30 +112,51 @@ def _gathered(entries: pa.ListArray, matrix: np.ndarray) -> np.ndarray:
     return out
 
 
-def times_gaussian(rows: DataFrame, width: int, seed: int) -> DataFrame:
-    """Sparse rows times a gaussian matrix that every worker derives from the seed."""
+def _signs(inner: np.ndarray, width: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``SIGNS`` stripes of the columns: place and value of the entry of every row ``inner``."""
+    stripes = min(SIGNS, width)
+    for stripe in range(stripes):
+        bits = _mixed(inner.astype(np.uint64) * np.uint64(SIGNS) + np.uint64(stripe), seed)
+        low, high = stripe * width // stripes, (stripe + 1) * width // stripes
+        place = low + ((bits >> np.uint64(40)) % np.uint64(high - low)).astype(np.int64)
+        size = 0.5 + ((bits >> np.uint64(8)) & np.uint64(0xFFFFFFFF)) / float(1 << 32)
+        yield place, np.where(bits & np.uint64(1), size, -size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[int, np.ndarray] = {}
 
-        def block(piece: int) -> np.ndarray:
-            if piece not in cache:
-                if len(cache) >= 64:
-                    cache.clear()
-                rng = np.random.default_rng([seed, piece])
-                cache[piece] = rng.standard_normal((SEGMENT, width))
-            return cache[piece]
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    """Well spread bits of each number and the seed."""
+    x = x + np.uint64(2 * seed + 1) * np.uint64(0x9E3779B97F4A7C15 & 0xFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def times_signs(matrix: DataFrame, outer: str, inner: str, n_inner: int, width: int, seed: int) -> DataFrame:
+    """The sparse matrix by ``outer`` times a sparse sign matrix over ``inner``, as ``(idx, vec)``.
+
+    A row of the sign matrix has one entry in each of a few stripes of its columns, so that a sparse
+    row of any length yields one dense row at a cost of its own entries, and nothing dense is shuffled.
+    Beyond ``SIGN_ROWS`` inner indices a row comes in blocks, whose dense rows are added up.
+    """
+    block = F.floor(F.col(inner) / SIGN_ROWS)
+    entry = F.struct(F.col(inner).alias("inner"), F.col("val").alias("val"))
+    keys = [F.col(outer).alias("idx")] + ([block.alias("block")] if n_inner > SIGN_ROWS else [])
+    rows = matrix.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = batch.column("segment").to_pylist()
-            out = _segment_products(
-                batch.column("entries"), width, lambda i: (block(pieces[i]), pieces[i] * SEGMENT)
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("idx"), lists_of(out)], names=["idx", "vec"]
-            )
+            if not batch.num_rows:
+                continue
+            starts, at, weight = _cells(batch.column("entries"))
+            at, weight = at[starts[0] : starts[-1]], weight[starts[0] : starts[-1]]
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(starts)) * width
+            out = np.zeros(batch.num_rows * width)
+            for place, value in _signs(at, width, seed):
+                out += np.bincount(owner + place, weight * value, len(out))
+            yield pa.RecordBatch.from_arrays([batch.column("idx"), lists_of(out.reshape(-1, width))], names=["idx", "vec"])
 
-    return sum_vectors(rows.mapInArrow(run, VECTOR_SCHEMA), "idx")
+    products = rows.mapInArrow(run, VECTOR_SCHEMA)
+    return sum_vectors(products, "idx") if n_inner > SIGN_ROWS else products
 
 
 def times_factor(rows: DataFrame, factor: DataFrame, width: int) -> DataFrame:
@@ -233,81 +262,112 @@ def gram(
     return result
 
 
-def _orthogonaliser(product: np.ndarray, floor: float) -> np.ndarray:
-    """T with orthonormal X T, given X'X: columns in order, cut at the first small residual."""
-    size = len(product)
-    upper = np.zeros((size, size))
-    kept = 0
-    for i in range(size):
-        head = upper[:i, i] = (
-            np.linalg.solve(upper[:i, :i].T, product[:i, i]) if i else np.zeros(0)
-        )
-        residual = product[i, i] - head @ head
-        if residual <= floor * floor:
-            break
-        upper[i, i] = np.sqrt(residual)
-        kept = i + 1
-    result = np.zeros((size, kept))
+def _triangle(stack: np.ndarray) -> np.ndarray:
+    """The triangular factor of a stack of rows, square, with a diagonal that is not negative."""
+    upper = np.linalg.qr(stack, mode="r")
+    upper = np.vstack([upper, np.zeros((max(stack.shape[1] - len(upper), 0), stack.shape[1]))])
+    return upper * np.where(np.diag(upper) < 0, -1.0, 1.0)[:, None]
+
+
+def tall_triangle(df: DataFrame, before: np.ndarray) -> np.ndarray:
+    """R of X ``before`` = Q R: every task reduces its rows to a triangle, then triangles are stacked and reduced.
+
+    Each step of the tree stacks at most ``FAN_IN`` triangles; the driver does the last one.
+    """
+    width = before.shape[1]
+
+    def reduced(blocks: Iterator[np.ndarray]) -> np.ndarray:
+        upper = np.zeros((0, width))
+        for block in blocks:
+            upper = _triangle(np.vstack([upper, block]))
+        return upper
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = reduced(vectors_of(b.column("vec")) @ before for b in batches if b.num_rows)
+        if len(upper):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), lists_of(upper.reshape(1, -1))], names=["idx", "vec"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        number = table.column("idx")[0].as_py() // FAN_IN
+        blocks = vectors_of(table.column("vec").combine_chunks()).reshape(-1, width, width)
+        return pa.table({"idx": pa.array([number]), "vec": lists_of(reduced(iter(blocks)).reshape(1, -1))})
+
+    parts = df.select("vec")
+    triangles, n = parts.mapInArrow(run, VECTOR_SCHEMA), parts.rdd.getNumPartitions()
+    while n > FAN_IN:
+        group = F.floor(F.col("idx") / FAN_IN)
+        triangles, n = triangles.groupBy(group).applyInArrow(merge, VECTOR_SCHEMA), -(-n // FAN_IN)
+    rows = sorted(triangles.collect(), key=lambda r: r.idx)
+    return reduced(np.array(r.vec).reshape(width, width) for r in rows)
+
+
+def _inverted(upper: np.ndarray, floor: float) -> np.ndarray:
+    """T with orthonormal X T for X = Q ``upper``, cut at the first residual within ``floor``."""
+    small = np.flatnonzero(np.diag(upper) <= floor)
+    kept = int(small[0]) if len(small) else len(upper)
+    result = np.zeros((upper.shape[1], kept))
     if kept:
         result[:kept] = np.linalg.inv(upper[:kept, :kept])
     return result
 
 
-def orthonormal(df: DataFrame, before: np.ndarray) -> np.ndarray:
-    """T such that the columns of X T are orthonormal and span those of X ``before``.
+def _floor(upper: np.ndarray) -> float:
+    """Residuals up to this size count as none."""
+    return max(RESIDUAL_EPS, ROUNDING * float(np.sqrt((upper * upper).sum(axis=0)).max(initial=0.0)))
+
 
-    Done twice: the second pass removes what rounding left in the first.
+def orthonormal(df: DataFrame, before: np.ndarray, floor: float | None = None) -> tuple[DataFrame, np.ndarray]:
+    """A table Y and a T near the identity, such that Y T has orthonormal columns that span those of X ``before``.
+
+    Done twice: the second pass removes what rounding left in the first. Y is written in between, as
+    products with a badly scaled matrix do not round alike when they are made again.
     """
-    first = gram(df, before, before)
-    scale = float(np.sqrt(max(np.diag(first).max(initial=0.0), 0.0)))
-    once = before @ _orthogonaliser(first, max(RESIDUAL_EPS, 1e-7 * scale))
-    if once.shape[1] == 0:
-        return once
-    return once @ _orthogonaliser(gram(df, once, once), 0.5)
+    first = tall_triangle(df, before)
+    to = before @ _inverted(first, _floor(first) if floor is None else floor) if len(first) else np.zeros((len(before), 0))
+    once = cut_lineage(times_small(df, to))
+    return once, _inverted(tall_triangle(once, np.eye(to.shape[1])), 0.5) if to.shape[1] else np.zeros((0, 0))
 
 
 def _by(matrix: DataFrame, outer: str, inner: str) -> DataFrame:
     return segments(matrix, outer, inner).withColumnRenamed(outer, "idx")
 
 
-def _sample(matrix: DataFrame, rank: int, seed: int) -> tuple[DataFrame, np.ndarray]:
-    """A' times a gaussian matrix, written once, and its orthonormalising transform."""
+def _basis(matrix: DataFrame, rank: int, seed: int) -> tuple[DataFrame, np.ndarray]:
+    """A table Y and a T: the orthonormal columns of Y T span A' times a sparse sign matrix."""
     shape = matrix.agg(F.max("row") + 1, F.max("col") + 1).first()
     width = min(rank, *(n or 0 for n in shape))
     if width < 1:
         raise ValueError("the matrix is empty")
-    sample = cut_lineage(times_gaussian(_by(matrix, "col", "row"), width, seed))
-    return sample, orthonormal(sample, np.eye(width))
+    sample = cut_lineage(times_signs(matrix, "col", "row", shape[0], width, seed))
+    return orthonormal(sample, np.eye(width))
 
 
 def randomized_svd(matrix: DataFrame, rank: int, seed: int = 0) -> Factors:
     """Truncated SVD of ``(row, col, val)``: U over rows, singular values, V over columns.
 
-    Two passes over the matrix. The effective rank may be below ``rank``.
+    Two passes over the matrix. The effective rank may be below ``rank``. The values are those of the
+    triangular factor of A times the basis; a second QR pass removes what rounding left in U.
     """
-    sample, to_basis = _sample(matrix, rank, seed)
+    start, to_basis = _basis(matrix, rank, seed)
     k = to_basis.shape[1]
-    basis = times_small(sample, to_basis)
-    image = cut_lineage(product(matrix, "row", "col", basis, k))
-    mix = np.random.default_rng([seed, -1 & 0xFFFFFFFF]).standard_normal((k, k))
-    to_left = orthonormal(image, mix)
-    core = gram(image, to_left, np.eye(k))
-    u, values, vt = np.linalg.svd(core, full_matrices=False)
-    return Factors(
-        times_small(image, to_left @ u), values, times_small(sample, to_basis @ vt.T)
-    )
+    image = cut_lineage(product(matrix, "row", "col", times_small(start, to_basis), k))
+    upper = tall_triangle(image, np.eye(k))
+    _, values, vt = np.linalg.svd(upper)
+    kept = int((values > _floor(upper)).sum())
+    left, to_left = orthonormal(image, vt[:kept].T / values[:kept], 0.0)
+    return Factors(times_small(left, to_left), values[:kept], times_small(start, to_basis @ vt[:kept].T))
 
 
 def randomized_eigen(matrix: DataFrame, rank: int, seed: int = 0) -> Factors:
     """Eigenvalues (ascending) and vectors of a symmetric matrix; left and right are the same."""
-    sample, to_basis = _sample(matrix, rank, seed)
+    start, to_basis = _basis(matrix, rank, seed)
     k = to_basis.shape[1]
-    basis = times_small(sample, to_basis)
+    basis = times_small(start, to_basis)
     image = product(matrix, "row", "col", basis, k)
     both = basis.join(image.withColumnRenamed("vec", "image"), "idx")
     core = gram(both, np.eye(k), np.eye(k), "vec", "image")
     values, vectors = np.linalg.eigh((core + core.T) / 2)
-    out = times_small(sample, to_basis @ vectors)
+    out = times_small(start, to_basis @ vectors)
     return Factors(out, values, out)
 
 

@@ -48,6 +48,44 @@ def test_svd_drops_to_exact_rank(spark):
     np.testing.assert_allclose(svd.values, np.linalg.svd(low)[1][:rank], rtol=1e-8)
 
 
+def test_graded_values_down_to_ten_digits(spark):
+    rng = np.random.default_rng(6)
+    u, v = (np.linalg.qr(rng.standard_normal((n, 11)))[0] for n in (90, 40))
+    exact = 1e8 * 10.0 ** -np.arange(0, 11)
+    svd = lowrank.randomized_svd(coo(spark, u * exact @ v.T).repartition(7), 11)
+    assert len(svd.values) == 11
+    np.testing.assert_allclose(svd.values, exact, rtol=1e-5)
+    left, right = dense(svd.left, (90, 11)), dense(svd.right, (40, 11))
+    np.testing.assert_allclose(left.T @ left, np.eye(11), atol=1e-8)
+    np.testing.assert_allclose(right.T @ right, np.eye(11), atol=1e-8)
+
+
+def test_tree_of_triangles(spark, monkeypatch):
+    monkeypatch.setattr(lowrank, "FAN_IN", 2)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((50, 4)) @ np.diag([1e9, 1e3, 1.0, 1e-1])
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "idx long, vec array<double>").repartition(13)
+    upper = lowrank.tall_triangle(table, np.eye(4))
+    exact = np.linalg.qr(x, mode="r")
+    np.testing.assert_allclose(np.diag(upper), np.abs(np.diag(exact)), rtol=1e-6)
+    few = spark.createDataFrame([(0, [3.0, 4.0])], "idx long, vec array<double>")
+    np.testing.assert_allclose(lowrank.tall_triangle(few, np.eye(2)), [[3.0, 4.0], [0.0, 0.0]])
+
+
+def test_sign_matrix_in_blocks(spark, monkeypatch):
+    full = np.random.default_rng(4).integers(0, 3, (60, 9)).astype(float)
+    signs = np.zeros((60, 5))
+    for place, value in lowrank._signs(np.arange(60), 5, 3):
+        signs[np.arange(60), place] += value
+    assert (np.abs(signs) > 0).all()
+    for block in (1 << 22, 16):
+        monkeypatch.setattr(lowrank, "SIGN_ROWS", block)
+        made = lowrank.times_signs(coo(spark, full), "col", "row", 60, 5, 3)
+        # Only blocks need their dense rows added up.
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 + (block == 16)
+        np.testing.assert_allclose(dense(made, (9, 5)), full.T @ signs, atol=1e-12)
+
+
 def test_truncated_basis_and_word_vectors(spark, monkeypatch):
     monkeypatch.setattr(lowrank, "ROWS_PER_SALT", 3)
     rng = np.random.default_rng(8)
