@@ -149,6 +149,29 @@ def test_ridge_matches_direct_form(spark, rows_per_salt):
         assert row.lam == min(errors, key=lambda lam: (errors[lam], lam))
 
 
+def test_few_samples_of_many_dimensions_stay_samples(spark):
+    rng = np.random.default_rng(11)
+    dim, data, groups = 60, [], {}
+    for key, n in (("few", 10), ("one", 1), ("as many", 60), ("many", 150)):
+        p, a = rng.standard_normal((n, dim)), rng.standard_normal((n, dim))
+        groups[key] = (p, a)
+        data += [(key, i, p[i].tolist(), a[i].tolist()) for i in range(n)]
+    samples = spark.createDataFrame(data, "k string, i long, p array<double>, a array<double>")
+    stats = {r.k: r for r in ridge.sufficient_statistics(samples, ["k"], ["i"]).collect()}
+    assert {k: (r.summed, len(r.g) + len(r.h)) for k, r in stats.items()} == {
+        "few": (False, 2 * 10 * dim), "one": (False, 2 * dim), "as many": (True, 2 * dim * dim), "many": (True, 2 * dim * dim),
+    }
+    # Samples of one modifier split over salts: some parts are sums, some are samples.
+    for rows_per_salt in (5, 70, 4096):
+        for r in ridge.ridge_fits(samples, ["k"], ["i"], rows_per_salt=rows_per_salt).collect():
+            p, a = groups[r.k]
+            inverse = np.linalg.inv(a.T @ a + r.lam * np.eye(dim))
+            want = p.T @ a @ inverse
+            np.testing.assert_allclose(r.mat, want, atol=1e-9)
+            np.testing.assert_allclose(r.residual, np.linalg.norm(p - a @ want.T), rtol=1e-6, atol=1e-6)
+            np.testing.assert_allclose(r.s_trace, np.trace(a @ inverse @ a.T), atol=1e-9)
+
+
 def test_gcv_carries_error_over_zero_denominator():
     errors = ridge.gcv_errors([1.0, 2.0, 3.0], [5.0, 1.0, 5.0], 5)
     assert errors[0] == np.finfo(float).max and errors[2] == errors[1] == 4.0 / (5 * 0.8**2)
