@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.tokens import plain_tokens
 from lexweave.scale import lookup_join, sorted_index
+from lexweave.session import cut_lineage
 from lexweave.sources.corpus import valid_terms
 
 PLAIN_MIN_COUNT = 10
 PHRASE_MIN_COUNT = 20
 VOCAB_SIZE = 50_000
+# Bits of a count that one pass of the selection looks at.
+CUTOFF_BITS = 10
 
 
 def plain_token_arrays(lines: DataFrame, keep_empty: bool = False) -> DataFrame:
@@ -64,9 +67,45 @@ def lexicographic_vocab(counts: DataFrame) -> DataFrame:
     return sorted_index(counts, ["term"])
 
 
+def cutoff(counts: DataFrame, k: int) -> tuple[int, int, int]:
+    """The count of the k-th most frequent row, how many rows have more, and how many have just as much.
+
+    Digit by digit from the highest on: each pass makes a histogram of one digit of ``CUTOFF_BITS`` bits
+    among the counts whose higher digits are those of the answer, so the driver sees no more rows than
+    a digit has values. ``(0, n, 0)`` where there are fewer than k rows.
+    """
+    seen = counts.agg(F.count(F.lit(1)).alias("n"), F.max("cnt").alias("most")).first()
+    if seen.n < k or k < 1:
+        return (0, seen.n, 0) if k > 0 else (seen.most or 0, 0, 0)
+    shift = max(int(seen.most).bit_length() - 1, 0) // CUTOFF_BITS * CUTOFF_BITS
+    prefix, above = 0, 0
+    while True:
+        digits = counts.where(F.shiftright("cnt", shift + CUTOFF_BITS) == prefix)
+        digit = F.shiftright("cnt", shift).bitwiseAND(F.lit((1 << CUTOFF_BITS) - 1)).alias("digit")
+        histogram = digits.groupBy(digit).agg(F.count(F.lit(1)).alias("n")).collect()
+        for row in sorted(histogram, key=lambda r: -r.digit):
+            if above + row.n >= k:
+                break
+            above += row.n
+        prefix = (prefix << CUTOFF_BITS) + row.digit
+        if not shift:
+            return prefix, above, row.n
+        shift -= CUTOFF_BITS
+
+
 def top_k(counts: DataFrame, k: int = VOCAB_SIZE) -> DataFrame:
-    """The k most frequent terms; equal counts are broken by the larger term."""
-    return counts.orderBy(F.desc("cnt"), F.desc("term")).limit(k)
+    """The k most frequent terms; equal counts are broken by the larger term.
+
+    A selection, not a sort: rows above the cut-off count pass a filter, and only the rows at it are
+    sorted, over all partitions, where some of them must go.
+    """
+    counts = cut_lineage(counts)
+    count, above, equal = cutoff(counts, k)
+    if above + equal <= k:
+        return counts.where(F.col("cnt") >= count) if k > 0 else counts.limit(0)
+    placed = sorted_index(counts.where(F.col("cnt") == count), [F.desc("term")], "_place")
+    tied = placed.where(F.col("_place") < k - above).select(*counts.columns)
+    return counts.where(F.col("cnt") > count).unionByName(tied)
 
 
 def frequency_vocab(counts: DataFrame, k: int = VOCAB_SIZE) -> DataFrame:

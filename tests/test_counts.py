@@ -185,3 +185,16 @@ def test_jobs_share_totals(spark):
     assert len(kept) == 3
     assert all(r.w1 in kept and r.w2 in kept and r.cnt >= 2 for r in built.vocab.collect())
     assert built.ppmi().where("row >= 3 or val <= 0").count() == 0
+
+
+def test_selection_of_the_most_frequent(spark):
+    rng = random.Random(2)
+    for top in (1, 3, 5_000, 1 << 41):
+        rows = [(f"w{i}", rng.choice([1, 1, 2, rng.randint(1, top)])) for i in range(300)]
+        table = spark.createDataFrame(rows, "term string, cnt long").repartition(5)
+        order = sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
+        for k in (0, 1, 40, 299, 300, 1000):
+            assert sorted(vocab.top_k(table, k).collect()) == sorted(order[:k])
+        placed = vocab.frequency_vocab(table, 40).collect()
+        assert sorted((r.idx, r.term) for r in placed) == [(i, t) for i, (t, _) in enumerate(order[:40])]
+    assert vocab.top_k(table.limit(0), 5).count() == 0
