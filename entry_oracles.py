@@ -193,6 +193,21 @@ def with_(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{select}"
 
 
+# The four tokens after each one on its line; of a phrase's two words the earlier comes first.
+PHRASES_AHEAD = """
+SELECT doc_id, line_no, label, term AS w1, other AS w2
+FROM (
+  SELECT doc_id, line_no, term, other,
+         CASE t || u WHEN 'jjnn' THEN 'amod' WHEN 'nnvb' THEN 'nsubj' WHEN 'vbnn' THEN 'dobj'
+                     WHEN 'innn' THEN 'pobj' WHEN 'vbjj' THEN 'acomp' END AS label
+  FROM (
+    SELECT doc_id, line_no, tag AS t, term,
+           unnest([lead(tag, 1) OVER w, lead(tag, 2) OVER w, lead(tag, 3) OVER w, lead(tag, 4) OVER w]) AS u,
+           unnest([lead(term, 1) OVER w, lead(term, 2) OVER w, lead(term, 3) OVER w, lead(term, 4) OVER w]) AS other
+    FROM tokens WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY pos)))
+WHERE label IS NOT NULL
+"""
+
 ORACLES: dict[str, str] = {
     "tokens_plain": with_(PLAIN, "SELECT doc_id, line_no, pos, term FROM words"),
     "tokens_tagged": with_(
@@ -232,9 +247,7 @@ FROM pairs JOIN vocab va ON va.idx = a JOIN vocab vb ON vb.idx = b""",
     "ppmi_words": with_(
         word_matrix(DIM), 'SELECT col, "row", round(val, 6) AS val FROM coo'
     ),
-    "phrase_instances": with_(
-        EDGES, "SELECT doc_id, line_no, label, w1, w2 FROM instances"
-    ),
+    "phrase_instances": with_(TOKENS, PHRASES_AHEAD),
     "phrase_counts": with_(phrase_vocab(20), "SELECT label, w1, w2, cnt FROM pcounts"),
     "phrase_vocab_index": with_(
         phrase_vocab(5), "SELECT label, w1, w2, phrase, cnt, idx FROM pvocab"
