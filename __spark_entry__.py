@@ -211,7 +211,11 @@ def _small_matrix(spark, sf_dir):
 
 
 def svd_rank_cut(spark, sf_dir):
-    """A rank far below the matrix's: orthonormal U and V, U'AV the singular values, less energy than A."""
+    """A rank far below the matrix's: orthonormal U and V, U'AV the singular values, less energy than A.
+
+    The best subspace of this rank holds at least the energy of as many columns, the largest ones; a
+    subspace that is orthonormal but not near the leading one holds less.
+    """
     cells = cut_lineage(matrix.load_matrix(_tagged(spark, sf_dir).ppmi()))
     svd = lowrank.randomized_svd(cells, CUT_RANK)
     rank = len(svd.values)
@@ -222,12 +226,16 @@ def svd_rank_cut(spark, sf_dir):
     core = lowrank.gram(projected.join(right, "idx"), identity, identity, "image", "vec")
     gap = float(np.abs(core - np.diag(svd.values)).max() / svd.values.max())
     energy = F.lit(float((svd.values**2).sum()))
+    columns = cells.groupBy("col").agg(F.sum(F.col("val") * F.col("val")).alias("own"))
+    largest = float(sum(r.own for r in columns.orderBy(F.desc("own")).limit(CUT_RANK).collect()))
     return cells.agg(F.sum(F.col("val") * F.col("val")).alias("total")).select(
         F.lit(rank).alias("rank"),
         _round(F.lit(off[0])).alias("left_off"),
         _round(F.lit(off[1])).alias("right_off"),
         _round(F.lit(gap)).alias("middle_off"),
         (energy <= F.col("total")).alias("within"),
+        (energy >= F.lit(largest)).alias("leading"),
+        F.round(F.lit(largest), 6).alias("largest"),
         F.round("total", 6).alias("total"),
     )
 

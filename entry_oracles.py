@@ -794,7 +794,9 @@ WHERE len(t.rest) > 0""",
         "svd_rank_cut": with_(
             word_matrix(DIM),
             f"""SELECT {CUT_RANK}::INT AS rank, 0.0::DOUBLE AS left_off, 0.0::DOUBLE AS right_off, 0.0::DOUBLE AS middle_off,
-  true AS within, round(sum(val * val), 6) AS total FROM mat""",
+  true AS within, true AS leading, round(sum(val * val), 6) AS total,
+  round((SELECT sum(own) FROM (SELECT sum(val * val) AS own FROM mat GROUP BY col ORDER BY 1 DESC LIMIT {CUT_RANK})), 6) AS largest
+FROM mat""",
         ),
         "ridge_full": """
 WITH s AS (SELECT label, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS p FROM embeddings)
