@@ -11,7 +11,8 @@ N_SHARDS = 40
 
 
 def op1_hash_tree_shards(spark, sf_dir):
-    placed = sharding.assign(documents(spark, sf_dir), sharding.topology(N_SHARDS), sharding.topology(N_SHARDS + 1))
+    tree = sharding.topology(N_SHARDS)
+    placed = sharding.assign(documents(spark, sf_dir), tree, sharding.grown(tree, N_SHARDS))
     return placed.withColumn("law", F.lit("key"))
 
 

@@ -1,11 +1,15 @@
 """Sharding by a hierarchical weighted hash tree of regions, racks and shards.
 
-Every shard draws ``-ln(u) / weight`` for a row, ``u`` a uniform hash of the row's key and the shard.
-The draw of a rack or region is the smallest draw below it, which is again an exponential draw whose
-rate is the summed weight, so each level picks its children in proportion to their weights. A row
-descends: region with the smallest draw, rack in it, shard in it. A changed weight changes only the
-draws on the path above it, so rows move only into (weight up) or out of (weight down) the subtree that
-changed; a new shard takes rows only into itself. Equal draws go to the smaller id.
+A row descends level by level: the children of a node draw ``-ln(u) / weight`` each, ``u`` a uniform hash of
+the row's key, the level and the child, and the smallest draw wins, so children are picked in proportion to
+their weights. A rack or region weighs what its shards weigh together. Draws of one level say nothing about
+those of another, and a row costs one hash for each child of the three nodes it passes. Equal draws go to the
+smaller id.
+
+A changed weight changes draws on the path above it only: rows enter or leave the regions, racks and shards
+whose weights changed, and no row moves between two others of one node. Rows that a region gains this way
+spread over all of it. Where growth must take rows only into one shard, ``grown`` gives the new shard, or
+the new weight of an old one, a region of its own, and ``weight`` then counts against whole regions.
 
 Rows with a null key share one key; a null text has no bytes; an empty table gives an empty result;
 repeated rows each get a slot; other columns are ignored.
@@ -37,22 +41,32 @@ def topology(n_shards: int, per_rack: int = SHARDS_PER_RACK, per_region: int = R
     return [Shard(s // per_rack // per_region, s // per_rack, s) for s in range(n_shards)]
 
 
-def draws(key: Column, tree: list[Shard]) -> Column:
-    """The draw of each shard with its place in the tree."""
-    nodes = F.array(
-        *[
-            F.struct(F.lit(n.region).alias("region"), F.lit(n.rack).alias("rack"), F.lit(n.shard).alias("shard"), F.lit(float(n.weight)).alias("weight"))
-            for n in tree
-            if n.weight > 0
-        ]
-    )
+def grown(tree: list[Shard], shard: int, weight: float = 1.0) -> list[Shard]:
+    """``tree`` with more weight for ``shard``, new or not, from a region of its own: only this shard gains rows."""
+    return [*tree, Shard(max(n.region for n in tree) + 1, max(n.rack for n in tree) + 1, shard, weight)]
+
+
+def levels(tree: list[Shard]) -> Column:
+    """Regions with their racks with their shards, as one constant; nodes without weight are left out."""
+
+    def node(number: int, weight: float, below: Column | None = None) -> Column:
+        own = [F.lit(number).alias("id"), F.lit(float(weight)).alias("weight")]
+        return F.struct(*own, *([] if below is None else [below.alias("below")]))
 
-    def draw(node: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, node["shard"]), 11)
-        uniform = (bits + F.lit(0.5)) / F.lit(float(1 << 53))
-        return F.struct((-F.log(uniform) / node["weight"]).alias("draw"), node["region"].alias("region"), node["rack"].alias("rack"), node["shard"].alias("shard"))
+    def grouped(nodes: list[Shard], level: str) -> list[tuple[int, list[Shard]]]:
+        return [(k, [n for n in nodes if getattr(n, level) == k]) for k in sorted({getattr(n, level) for n in nodes})]
 
-    return F.transform(nodes, draw)
+    def total(nodes: list[Shard]) -> float:
+        return sum(n.weight for n in nodes)
+
+    def rack(number: int, nodes: list[Shard]) -> Column:
+        shards = [node(k, total(own)) for k, own in grouped(nodes, "shard")]
+        return node(number, total(nodes), F.array(*shards))
+
+    def region(number: int, nodes: list[Shard]) -> Column:
+        return node(number, total(nodes), F.array(*[rack(k, own) for k, own in grouped(nodes, "rack")]))
+
+    return F.array(*[region(k, own) for k, own in grouped([n for n in tree if n.weight > 0], "region")])
 
 
 def _bound(value: Column, use) -> Column:
@@ -63,20 +77,27 @@ def _bound(value: Column, use) -> Column:
 def descend(key: Column, tree: list[Shard]) -> Column:
     """The shard reached through region and rack."""
 
-    def best(rows: Column, level: str) -> Column:
-        return F.array_min(F.transform(rows, lambda r: F.struct(r["draw"].alias("draw"), r[level].alias("id"))))["id"]
+    def pick(nodes: Column, level: int) -> Column:
+        """The child of the smallest draw."""
+
+        def draw(node: Column, at: Column) -> Column:
+            bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), node["id"]), 11)
+            uniform = (bits + F.lit(0.5)) / F.lit(float(1 << 53))
+            return F.struct((-F.log(uniform) / node["weight"]).alias("draw"), node["id"].alias("id"), at.alias("at"))
+
+        return F.get(nodes, F.array_min(F.transform(nodes, draw))["at"])
 
-    def inside(rows: Column, level: str) -> Column:
-        return _bound(best(rows, level), lambda own: F.filter(rows, lambda r: r[level] == own))
+    def shard(rack: Column) -> Column:
+        return pick(rack["below"], 2)["id"]
 
-    def racks(rows: Column) -> Column:
-        return _bound(inside(rows, "region"), lambda below: _bound(inside(below, "rack"), lambda shards: best(shards, "shard")))
+    def rack(region: Column) -> Column:
+        return _bound(pick(region["below"], 1), shard)
 
-    return _bound(draws(key, tree), racks).cast("int")
+    return _bound(pick(levels(tree), 0), rack).cast("int")
 
 
-def assign(docs: DataFrame, tree: list[Shard], grown: list[Shard] | None = None) -> DataFrame:
-    """Shard, size, checksum and a gapless slot in its shard for every row; ``grown``: another tree."""
+def assign(docs: DataFrame, tree: list[Shard], larger: list[Shard] | None = None) -> DataFrame:
+    """Shard, size, checksum and a gapless slot in its shard for every row; ``larger``: another tree."""
     octets = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     rows = docs.select(
         "doc_id",
@@ -85,6 +106,6 @@ def assign(docs: DataFrame, tree: list[Shard], grown: list[Shard] | None = None)
         text_key().alias("_key"),
     )
     placed = rows.withColumn("shard", descend(F.col("_key"), tree))
-    if grown:
-        placed = placed.withColumn("grown_shard", descend(F.col("_key"), grown))
+    if larger:
+        placed = placed.withColumn("grown_shard", descend(F.col("_key"), larger))
     return numbered(placed.drop("_key"), ["shard"], "slot")
