@@ -22,10 +22,12 @@ Repeated rows each train and get a row; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
@@ -108,11 +110,10 @@ def probabilities(count, sums, lower, factors) -> np.ndarray:
     return np.where(total > 0, np.where(count > 0, factor * count / np.maximum(whole, 1e-300), backed), lower)
 
 
-def _chunk(ids: list, held: list, firsts: list, hashes: list, names: list[str]) -> pa.RecordBatch:
+def _chunk(number: int, ids: list, held: list, firsts: list, hashes: list, names: list[str]) -> pa.RecordBatch:
     words = np.concatenate(hashes)
     distinct, tokens = np.unique(words, return_inverse=True)
     sizes = np.concatenate(firsts)
-    number = int(np.random.default_rng().integers(1 << 62))
     blobs = [packed(sizes), packed(distinct), packed(tokens.astype(np.uint32))]
     ids = pa.concat_arrays(ids)
     listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
@@ -131,6 +132,8 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], []]
         count = 0
+        # No two chunks share a number: the partition, then a counter.
+        numbers = itertools.count(TaskContext.get().partitionId() << 32)
         for piece in pieces(batches):
             words = Words(*utf8(piece.column(2)), INSIDE)
             sizes = np.diff(words.first)
@@ -139,10 +142,10 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
                 into.append(part)
             count += len(hashes)
             if count >= chunk_tokens:
-                yield _chunk(*held, names)
+                yield _chunk(next(numbers), *held, names)
                 held, count = [[], [], [], []], 0
         if count:
-            yield _chunk(*held, names)
+            yield _chunk(next(numbers), *held, names)
 
     schema = f"chunk bigint, ids array<{id_type}>, held array<boolean>, n bigint, sizes binary, words binary, tokens binary"
     return rows.mapInArrow(run, schema)
