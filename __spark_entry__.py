@@ -19,6 +19,7 @@ from lexweave.operators import (  # noqa: E402
     compose,
     cooc,
     lowrank,
+    matching,
     matrix,
     phrases,
     ridge,
@@ -501,6 +502,17 @@ def greedy_match(spark, sf_dir):
     return _rounded(rules.greedy_match(_embedded_fragments(spark, sf_dir)), "sim")
 
 
+def match_rounds(spark, sf_dir):
+    """All vectors as the two sides of one rule; what one task may match is small, so that rounds do the work."""
+    sides = _embeddings(spark, sf_dir).select(
+        F.lit(0).alias("rule_id"),
+        F.when(F.col("vec_id") % 2 == 0, "L").otherwise("R").alias("side"),
+        F.floor(F.col("vec_id") / 2).cast("int").alias("frag"),
+        F.col("embedding").alias("vec"),
+    )
+    return _rounded(matching.match_by_rounds(rules.usable_fragments(sides), held=64), "sim")
+
+
 def _composed(spark, sf_dir):
     trained = _trained(spark, sf_dir)
     nodes = trees.phrase_nodes(_placed(spark, sf_dir))
@@ -630,6 +642,7 @@ QUERIES: tuple[Query, ...] = (
     expressions_read,
     mean_similarity,
     greedy_match,
+    match_rounds,
     compose_vectors,
     rule_status,
     rule_scores,

@@ -644,6 +644,22 @@ steps AS (
   FROM steps WHERE len(left_over) > 0)
 SELECT rule_id, place, round(left_over[1].sim, 6) AS sim, left_over[1].i AS l_frag,
        left_over[1].j AS r_frag
+FROM steps WHERE len(left_over) > 0""",
+        "match_rounds": """
+WITH RECURSIVE v AS (
+  SELECT vec_id % 2 AS side, (vec_id // 2)::INT AS frag, embedding::DOUBLE[] AS e FROM embeddings),
+start AS (
+  SELECT list({'sim': sim, 'i': i, 'j': j} ORDER BY sim DESC, i, j) AS left_over FROM (
+    SELECT l.frag AS i, r.frag AS j, round(abs(list_cosine_similarity(l.e, r.e)), 12) AS sim
+    FROM v l JOIN v r ON l.side = 0 AND r.side = 1)),
+steps AS (
+  SELECT 0 AS place, left_over FROM start
+  UNION ALL
+  SELECT place + 1, list_filter(left_over, lambda p:
+    p.i <> left_over[1].i AND p.j <> left_over[1].j)
+  FROM steps WHERE len(left_over) > 0)
+SELECT 0::BIGINT AS rule_id, place::BIGINT AS place, round(left_over[1].sim, 6) AS sim,
+       left_over[1].i AS l_frag, left_over[1].j AS r_frag
 FROM steps WHERE len(left_over) > 0""",
     }
 )
