@@ -24,6 +24,7 @@ from lexweave.operators import (  # noqa: E402
     phrases,
     ridge,
     rules,
+    store,
     trees,
     vocab,
 )
@@ -563,6 +564,37 @@ def counts_reloaded(spark, sf_dir):
     return vocab.frequency_vocab(text_formats.parse_counts(lines), VOCAB)
 
 
+def _in_parts(spark, sf_dir, n: int = 3) -> list[DataFrame]:
+    """The parsed corpus as parts that arrive one after the other; every line is in one of them."""
+    parsed = cut_lineage(_parsed(spark, sf_dir))
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+    return [parsed.where(part == i) for i in range(n)]
+
+
+def _merged(parts: list[DataFrame], count: Callable, keys: list[str], value: str) -> DataFrame:
+    saved = store.save(count(parts[0]), keys)
+    for part in parts[1:]:
+        saved = store.merge_counts(saved, count(part), keys, value)
+    return saved
+
+
+def counts_merged(spark, sf_dir):
+    return _merged(_in_parts(spark, sf_dir), vocab.tagged_word_counts, ["term"], "cnt")
+
+
+def pairs_merged(spark, sf_dir):
+    return _merged(_in_parts(spark, sf_dir), cooc.tagged_pair_counts, ["a", "b"], "n")
+
+
+def matrix_columns(spark, sf_dir):
+    """Entries and norm of every column, and the column of the product with the vector of all norms."""
+    stored = store.save(coo_binary(spark, sf_dir), ["col"])
+    columns = cut_lineage(store.columns(stored))
+    times = store.product(stored, columns.select("col", F.col("norm").alias("x")))
+    joined = columns.join(times.select(F.col("row").alias("col"), F.col("val").alias("times")), "col", "left")
+    return _rounded(joined, "norm", "times")
+
+
 def triplets_reloaded(spark, sf_dir):
     lines = text_formats.format_triplets(_tagged(spark, sf_dir).ppmi())
     return matrix.load_matrix(text_formats.parse_triplets(lines))
@@ -650,6 +682,9 @@ QUERIES: tuple[Query, ...] = (
     score_planar,
     matched_planar,
     counts_reloaded,
+    counts_merged,
+    pairs_merged,
+    matrix_columns,
     triplets_reloaded,
     matrix_ppmi,
     training_list,

@@ -721,6 +721,16 @@ FROM rule_ids LEFT JOIN sides USING (rule_id)""",
 ORACLES.update(
     {
         "counts_reloaded": with_(TAGGED_VOCAB, "SELECT term, cnt, idx FROM vocab"),
+        "counts_merged": with_(TAGGED_VOCAB, "SELECT term, cnt FROM counts"),
+        "pairs_merged": with_(TAGGED_PAIRS, "SELECT a, b, n FROM pairs"),
+        "matrix_columns": with_(
+            word_matrix(DIM)
+            + """,
+cols AS (SELECT col, count(*) AS nnz, sqrt(sum(val * val)) AS norm FROM mat GROUP BY 1),
+prod AS (SELECT "row", sum(val * norm) AS t FROM mat JOIN cols USING (col) GROUP BY 1)""",
+            """SELECT cols.col AS col, nnz, round(norm, 6) AS norm, round(t, 6) AS times
+FROM cols LEFT JOIN prod ON prod."row" = cols.col""",
+        ),
         "triplets_reloaded": with_(word_matrix(DIM), 'SELECT "row", col, val FROM mat'),
         "matrix_ppmi": with_(
             word_matrix(DIM),

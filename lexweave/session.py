@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Tables written by this process and not yet removed.
 _staged: list[str] = []
+# Those of them that the catalog knows.
+_named: list[str] = []
 
 
 def get_session(
@@ -65,8 +68,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(parts: Sequence[DataFrame], keys: Sequence[str], buckets: int) -> DataFrame:
+    """``parts``, of one schema, as one table in the shared folder, in hash buckets of ``keys``.
+
+    A join or grouping on ``keys`` (or on more columns than these) reads it without a shuffle. A part that
+    is not yet dealt over ``buckets`` by its keys is to be repartitioned by the caller.
+    """
+    spark = parts[0].sparkSession
+    name = f"staged_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    for number, part in enumerate(parts):
+        writer = part.write.mode("append" if number else "errorifexists").bucketBy(buckets, *keys).sortBy(*keys)
+        writer.option("path", path).saveAsTable(name)
+    _staged.append(path)
+    _named.append(name)
+    return spark.table(name)
+
+
 def remove_staged(spark: SparkSession) -> None:
-    """Delete the tables that ``cut_lineage`` has written in this process; call it when a job has ended."""
+    """Delete the tables written here in this process; call it when a job has ended."""
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
     while _staged:
         path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
