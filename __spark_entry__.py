@@ -394,8 +394,9 @@ def ridge_full(spark, sf_dir):
 def _planar_parts(spark, sf_dir):
     """Trees over the embeddings' first two components, with the matrices fitted to them.
 
-    Four following rows make a fragment: a head among the first ten words, a modifier of it, and an
-    object that has a modifier of its own; some words are unknown, some matrices are missing.
+    ``oracles.PLANAR_SIZE`` following rows make a fragment, every row one node of it, and the last fragment has
+    what is left. A word takes the matrix of its row's label; some labels have none for objects, and some
+    fragments have an unknown word more.
     """
     table = _embeddings(spark, sf_dir)
 
@@ -405,28 +406,30 @@ def _planar_parts(spark, sf_dir):
     words = table.select(word(F.col("vec_id")).alias("term"), F.slice("embedding", 1, 2).alias("vec"))
     fits = ridge.ridge_fits(_planar_samples(spark, sf_dir), ["label"], ["vec_id"], best_only=True)
     labels = F.when(F.col("label") % 5 != 0, F.array(F.lit("amod"), F.lit("dobj"))).otherwise(F.array(F.lit("amod")))
-    modifiers = fits.select(word(F.col("label")).alias("word"), F.explode(labels).alias("label"), "mat")
-    g = F.floor(F.col("vec_id") / 4)
-    head, object_ = word(g % 10), word(g * 7 % 10)
-    plain = g % 3 == 0
-
-    def node(number, parent, level, path, label, own, above):
-        text = F.lit(None).cast("string")
-        columns = {"node": F.lit(number), "parent": F.lit(parent).cast("int"), "level": F.lit(level), "path": F.lit(path), "label": text if label is None else label, "word": own, "head": text if above is None else above}
+    fitted = cut_lineage(fits.select(F.col("label").alias("of"), "mat"))
+    owners = table.select(F.col("label").alias("of"), word(F.col("vec_id")).alias("word"), F.explode(labels).alias("label"))
+    modifiers = owners.join(F.broadcast(fitted), "of").select("word", "label", "mat")  # one row for each label
+
+    size = oracles.PLANAR_SIZE
+    g, at = F.floor(F.col("vec_id") / size), (F.col("vec_id") % size).cast("int")
+    free = F.when(g % 3 == 0, "pmod").otherwise("amod")
+    kinds = [F.lit(None).cast("string"), free, F.lit("dobj"), F.lit("amod"), F.lit("pmod"), F.lit("amod"), F.lit("pmod")]
+
+    def node(number: Column, parent: Column, level: Column, path: Column, label: Column, own: Column) -> Column:
+        above = F.when(label != "pmod", word(g * size + parent))
+        columns = {"node": number, "parent": parent, "level": level, "path": path, "label": label, "word": own, "head": above}
         return F.struct(*[c.alias(n) for n, c in columns.items()])
 
-    first = F.when(g % 11 == 5, F.lit("unknown")).otherwise(word(g * 4 + 1))
-    nodes = F.array(
-        node(0, None, 0, "", None, head, None),
-        node(1, 0, 1, ".1", F.when(plain, "pmod").otherwise("amod"), first, F.when(~plain, head)),
-        node(2, 0, 1, ".2", F.lit("dobj"), object_, head),
-        node(3, 2, 2, ".2.3", F.lit("amod"), word(g * 4 + 3), object_),
-    )
-    fragments = table.where("vec_id % 4 = 3").select(
+    parent = F.get(F.array(*[F.lit(p).cast("int") for p in oracles.PLANAR_PARENTS]), at)
+    level = F.when(at == 0, 0).when(parent == 0, 1).otherwise(2)
+    path = F.when(at == 0, "").when(parent == 0, F.concat(F.lit("."), at)).otherwise(F.concat(F.lit("."), parent, F.lit("."), at))
+    own = node(at, parent, level, path, F.get(F.array(*kinds), at), word(F.col("vec_id")))
+    stray = node(F.lit(size), F.lit(0), F.lit(1), F.lit(".7"), free, F.lit("unknown"))
+    fragments = table.select(
         F.floor(g / 4).alias("rule_id"),
         F.when(g % 2 == 0, "L").otherwise("R").alias("side"),
         (F.floor(g % 4 / 2) + 1).cast("int").alias("frag"),
-        F.inline(nodes),
+        F.inline(F.when((at == 0) & (g % 11 == 5), F.array(own, stray)).otherwise(F.array(own))),
     )
     return fragments, words, cut_lineage(modifiers)
 

@@ -752,34 +752,49 @@ FROM places WHERE t <> 'dt'""",
     }
 )
 
+# A fragment has this many rows of the embeddings; node 0 is its root.
+PLANAR_SIZE = 7
+PLANAR_PARENTS = (None, 0, 0, 2, 2, 1, 0)
+
+
+def _planar_step(at: int, child: int, parent: int, plain: str) -> str:
+    """A statement's part that adds node ``child`` to ``parent``, as it is where ``plain``, else by a matrix."""
+
+    def sum_(axis: str, row: int) -> str:
+        turned = f"m{row}1_{parent} * x{child} + m{row}2_{parent} * y{child}"
+        return f"{axis}{parent} + CASE WHEN {plain} THEN {axis}{child} ELSE {turned} END"
+
+    sums, unit = f"SELECT *, {sum_('x', 1)} AS sx, {sum_('y', 2)} AS sy FROM step{at}", "sqrt(sx * sx + sy * sy)"
+    cells = ", ".join(
+        f"CASE WHEN x{child} IS NULL THEN {axis}{parent} ELSE s{axis} / {unit} END AS {axis}{parent}" for axis in "xy"
+    )
+    return f"step{at + 1} AS (SELECT * EXCLUDE (sx, sy) REPLACE ({cells}) FROM ({sums}))"
+
+
+_CELLS = "x y m11 m12 m21 m22".split()
+# Children before parents, children of a node in order.
+_PLANAR_ADDED = [(3, 2, "false"), (4, 2, "true"), (5, 1, "false"), (1, 0, "g % 3 = 0"), (2, 0, "false"), (6, 0, "true")]
 PLANAR = (
     RIDGE
-    + """,
+    + f""",
 best AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY label ORDER BY err, lam) = 1),
-v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-g AS (SELECT vec_id // 4 AS g FROM embeddings WHERE vec_id % 4 = 3),
-objects AS (
-  SELECT g, h.x + m11 * c.x + m12 * c.y AS x, h.y + m21 * c.x + m22 * c.y AS y
-  FROM g JOIN v h ON h.vec_id = g * 7 % 10 JOIN best b ON b.label = g * 7 % 10
-  JOIN v c ON c.vec_id = g * 4 + 3),
-firsts AS (
-  SELECT g, h.x + CASE WHEN g % 3 = 0 THEN c.x ELSE m11 * c.x + m12 * c.y END AS x,
-         h.y + CASE WHEN g % 3 = 0 THEN c.y ELSE m21 * c.x + m22 * c.y END AS y, h.x AS hx, h.y AS hy
-  FROM g JOIN v h ON h.vec_id = g % 10 JOIN best b ON b.label = g % 10 JOIN v c ON c.vec_id = g * 4 + 1),
-joined AS (
-  SELECT f.g, (f.g % 11 = 5 AND f.g % 3 <> 0) OR f.g % 10 % 5 = 0 AS bad,
-         CASE WHEN f.g % 11 = 5 THEN f.hx ELSE f.x / sqrt(f.x * f.x + f.y * f.y) END AS ax,
-         CASE WHEN f.g % 11 = 5 THEN f.hy ELSE f.y / sqrt(f.x * f.x + f.y * f.y) END AS ay,
-         o.x / sqrt(o.x * o.x + o.y * o.y) AS ox, o.y / sqrt(o.x * o.x + o.y * o.y) AS oy
-  FROM firsts f JOIN objects o USING (g)),
+v AS (
+  SELECT vec_id // {PLANAR_SIZE} AS g, vec_id % {PLANAR_SIZE} AS spot, label, embedding[1]::DOUBLE AS x,
+         embedding[2]::DOUBLE AS y, m11, m12, m21, m22 FROM embeddings JOIN best USING (label)),
+step0 AS (
+  SELECT g, max(label) FILTER (spot = 0) AS label, max(spot) AS top, """
+    + ", ".join(f"max({c}) FILTER (spot = {i}) AS {c}{'_' if c[0] == 'm' else ''}{i}" for i in range(PLANAR_SIZE) for c in _CELLS)
+    + """ FROM v GROUP BY g),
+"""
+    + ",\n".join(_planar_step(at, *step) for at, step in enumerate(_PLANAR_ADDED))
+    + f""",
 added AS (
-  SELECT j.g, bad, ax + m11 * ox + m12 * oy AS x, ay + m21 * ox + m22 * oy AS y
-  FROM joined j JOIN best b ON b.label = j.g % 10),
+  SELECT g, (g % 11 = 5 AND g % 3 <> 0) OR (label % 5 = 0 AND top >= 2) AS bad, x0 AS x, y0 AS y
+  FROM step{len(_PLANAR_ADDED)}),
 planar AS (
   SELECT g // 4 AS rule_id, CASE WHEN g % 2 = 0 THEN 'L' ELSE 'R' END AS side,
          (g % 4 // 2 + 1)::INT AS frag, CASE WHEN bad THEN 'zero' ELSE 'ok' END AS status,
-         CASE WHEN NOT bad THEN x / sqrt(x * x + y * y) END AS x,
-         CASE WHEN NOT bad THEN y / sqrt(x * x + y * y) END AS y FROM added)"""
+         CASE WHEN NOT bad THEN x END AS x, CASE WHEN NOT bad THEN y END AS y FROM added)"""
 )
 
 PLANAR_STEPS = (
@@ -809,8 +824,8 @@ ORACLES.update(
     {
         "matched_planar": with_(
             PLANAR_STEPS,
-            """SELECT p.rule_id, t.place, p.side,
-  'w' || ((p.rule_id * 4 + (p.frag - 1) * 2 + CASE WHEN p.side = 'R' THEN 1 ELSE 0 END) % 10) AS expr,
+            f"""SELECT p.rule_id, t.place, p.side,
+  'w' || ((p.rule_id * 4 + (p.frag - 1) * 2 + CASE WHEN p.side = 'R' THEN 1 ELSE 0 END) * {PLANAR_SIZE}) AS expr,
   round(p.x, 6) AS x, round(p.y, 6) AS y
 FROM steps t JOIN planar p ON p.rule_id = t.rule_id
  AND ((p.side = 'L' AND p.frag = t.rest[1].i) OR (p.side = 'R' AND p.frag = t.rest[1].j))
