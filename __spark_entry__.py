@@ -32,7 +32,7 @@ from lexweave.plans.phrases import build_phrases  # noqa: E402
 from lexweave.plans.train import build_space, phrase_space, train  # noqa: E402
 from lexweave.plans.words import plain_words, tagged_words  # noqa: E402
 from lexweave.session import cut_lineage  # noqa: E402
-from lexweave.sources import corpus, standin, text_formats  # noqa: E402
+from lexweave.sources import corpus, observed, standin, text_formats  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCAB, DIM, SMALL, CUT_RANK = oracles.VOCAB, oracles.DIM, oracles.SMALL, oracles.CUT_RANK
@@ -81,6 +81,26 @@ def deps_decoded(spark, sf_dir):
     return corpus.edge_rows(_parsed_text(spark, sf_dir))
 
 
+def parsed_dropped(spark, sf_dir):
+    """Tokens and edges seen and kept while the parsed corpus is written."""
+    _, seen = observed.parse_observed(_parsed_text(spark, sf_dir))
+    return spark.createDataFrame(list(seen.items()), "kind string, total bigint")
+
+
+def pairs_plain_filtered(spark, sf_dir):
+    """``pairs_plain`` for a vocabulary beyond a broadcast: a filter of its words, then a shuffled join."""
+    job = plain_words(_lines(spark, sf_dir))
+    sequences = cooc.plain_sequences(job.tokens, job.vocab, job.window, max_broadcast_rows=0)
+    return cooc.spell_pairs(cooc.plain_index_pair_counts(sequences, job.window), job.vocab)
+
+
+def rule_tokens_by_range(spark, sf_dir):
+    """``rule_tokens`` with all phrases placed by the range join that long ones take."""
+    docs = _documents(spark, sf_dir)
+    placed = trees.phrase_sentences(standin.rule_phrases(docs), standin.rule_sentences(docs), inline_places=-1)
+    return trees.rule_tokens(placed)
+
+
 def word_counts(spark, sf_dir):
     return vocab.tagged_word_counts(_parsed(spark, sf_dir))
 
@@ -692,6 +712,9 @@ QUERIES: tuple[Query, ...] = (
     matrix_ppmi,
     training_list,
     rule_table,
+    parsed_dropped,
+    pairs_plain_filtered,
+    rule_tokens_by_range,
 )
 
 

@@ -752,6 +752,16 @@ FROM places WHERE t <> 'dt'""",
     }
 )
 
+ORACLES["pairs_plain_filtered"] = ORACLES["pairs_plain"]
+ORACLES["rule_tokens_by_range"] = ORACLES["rule_tokens"]
+ORACLES["parsed_dropped"] = with_(
+    EDGES,
+    """SELECT 'tokens' AS kind, count(*)::BIGINT AS total FROM tokens
+UNION ALL SELECT 'tokens_kept', count(*)::BIGINT FROM tokens WHERE term IS NOT NULL
+UNION ALL SELECT 'edges', count(*)::BIGINT FROM edges
+UNION ALL SELECT 'edges_kept', count(*)::BIGINT FROM instances""",
+)
+
 # A fragment has this many rows of the embeddings; node 0 is its root.
 PLANAR_SIZE = 7
 PLANAR_PARENTS = (None, 0, 0, 2, 2, 1, 0)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.arrays import pairs_at_distance, windows_with_halo
+from lexweave.operators import membership
 from lexweave.scale import BROADCAST_ROWS, fits_broadcast, lookup_join
 from lexweave.session import cut_lineage
 from lexweave.sources.corpus import valid_terms
@@ -78,7 +79,7 @@ def tagged_index_pair_counts(
     """
     words = vocab.select("term", "idx")
     pairs = _ordered(tagged_pairs(parsed, window, piece))
-    if words.limit(vocab_bound + 1).count() <= vocab_bound:
+    if fits_broadcast(words, vocab_bound):
         for side in ("a", "b"):
             coded = words.select(F.col("term").alias(side), F.col("idx").alias(f"{side}_idx"))
             pairs = pairs.join(F.broadcast(coded), side)
@@ -140,9 +141,9 @@ def plain_sequences(
         F.posexplode(windows_with_halo(F.col("tokens"), piece, 0)).alias("piece", "words"),
         (F.size("tokens") > piece).alias("long"),
     )
-    rows = pieces.select(
-        "doc_id", "line_no", "piece", "long", F.posexplode("words").alias("pos", "term")
-    )
+    # Most words outside the vocabulary leave inside the row, before the tokens are shuffled.
+    likely = membership.keep_likely(pieces, "words", words)
+    rows = likely.select("doc_id", "line_no", "piece", "long", F.inline("words"))
     coded = lookup_join(
         rows,
         vocab.select("term", "idx"),

@@ -1,0 +1,82 @@
+"""The word filter, range placement of phrases, and observed parsing."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexweave.operators import membership, trees
+from lexweave.sources import corpus, observed
+
+
+def test_shape_is_bounded():
+    assert membership.shape(0) == (64, 6)
+    for n in (1, 100, 10**6, 10**9):
+        bits, probes = membership.shape(n)
+        assert bits & (bits - 1) == 0 and bits // 8 <= membership.FILTER_BYTES and probes <= membership.MOST_PROBES
+    assert membership.shape(10**12)[1] == 0
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 16, 8])
+def test_no_word_is_lost(spark, max_bytes):
+    known = [f"w{i}" for i in range(300)]
+    rows = [(0, known + ["", "é"]), (1, []), (2, None), (3, [f"x{i}" for i in range(2000)])]
+    vocab = spark.createDataFrame([(w,) for w in known], "term string")
+    table = spark.createDataFrame(rows, "id int, words array<string>")
+    found = {r.id: r.words for r in membership.keep_likely(table, "words", vocab, max_bytes=max_bytes).collect()}
+    assert [tuple(w) for w in found[0]][:300] == list(enumerate(known))
+    assert found[1] == [] and found[2] == []
+    assert all(rows[3][1][w.pos] == w.term for w in found[3])
+    if max_bytes == 1 << 20:
+        assert len(found[3]) < 100
+
+
+def test_filter_of_no_words_lets_nothing_pass(spark):
+    none = spark.createDataFrame([], "term string")
+    table = spark.createDataFrame([(["a", "b"],)], "words array<string>")
+    assert membership.keep_likely(table, "words", none).first().words == []
+    assert not membership.build(none, "term", 64, 6).any()
+
+
+@pytest.mark.parametrize("include_last", [False, True])
+def test_places_by_range_equal_places_in_the_row(spark, include_last):
+    rng = random.Random(5)
+    sents, rules = [], []
+    for rule in range(30):
+        for side in "LR":
+            total = 0
+            for number in range(rng.randint(1, 6)):
+                n = rng.choice([0, 1, 3, 70, 200])
+                tokens = [(f"w{i}", rng.choice(["NN", "VB", "DT"]), 0, "root") for i in range(n)]
+                sents.append((rule, side, number, tokens))
+                total += n
+            picked = [rng.randint(-1, total + 3) for _ in range(rng.choice([0, 1, 5, 60]))]
+            rules.append((rule, side, " ".join(f"a-{i}" for i in picked)))
+    schema = "rule_id long, side string, sent_no int, tokens array<struct<lemma:string,tag:string,gov:int,rel:string>>"
+    sentences = spark.createDataFrame(sents, schema)
+    table = spark.createDataFrame(rules, "rule_id long, side string, phrase string")
+    forms = [trees.phrase_sentences(table, sentences, include_last, bound) for bound in (10**6, 10, -1)]
+    assert forms[0].columns == forms[1].columns == forms[2].columns
+    want, *others = [sorted((r.rule_id, r.side, r.sent_no, r.offset, r.ords) for r in form.select("rule_id", "side", "sent_no", "offset", F.col("ords").cast("string")).collect()) for form in forms]
+    assert any(any(c.isdigit() for c in row[4]) for row in want)
+    assert others == [want, want]
+
+
+def test_observed_parsing_counts_what_it_drops(spark):
+    lines = [
+        "dog/NN run/VB x9/NN the/DT\t#DEP#\tnsubj-1-0 amod-1-2 nsubj-9-0 bad nsubj-x-0 det-0-3",
+        "cat/NN",
+        "",
+        None,
+    ]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(lines)], "doc_id long, line_no int, text string")
+    table, seen = observed.parse_observed(rows)
+    want = corpus.parse_lines(rows)
+    key = ["doc_id", "line_no"]
+    assert table.columns == want.columns
+    assert sorted(map(str, table.orderBy(*key).collect())) == sorted(map(str, want.orderBy(*key).collect()))
+    terms = [t for r in want.collect() for t in r.terms or []]
+    assert seen["tokens"] == len(terms) and seen["tokens_kept"] == len([t for t in terms if t]) == 3
+    assert seen["edges"] == 6 and seen["edges_kept"] == 1
+    empty, none = observed.parse_observed(rows.limit(0))
+    assert empty.count() == 0 and set(none.values()) == {0}
