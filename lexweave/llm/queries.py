@@ -23,15 +23,23 @@ def op2_line_crf_quality(spark, sf_dir):
     return found.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def _changed_body():
+    return F.concat(F.col("html"), F.lit("<!-- 2 -->"))
+
+
+def _bodies(pages):
+    """The bodies of the responses of ``_captures``."""
+    second = F.when(F.col("page_id") % 3 == 0, F.struct((F.col("page_id") * 5 + 2).alias("body_id"), _changed_body().alias("body")))
+    both = F.array(F.struct((F.col("page_id") * 5).alias("body_id"), F.col("html").alias("body")), second)
+    return pages.select(F.inline(F.array_compact(both)))
+
+
 def _captures(pages):
     """Crawl records of the pages: a response, a revisit, for some a changed response, a late and an early revisit."""
     tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
     modified = F.concat(F.lit("day "), F.col("page_id").cast("string"))
-    # Bodies stay where they are; their digest and length travel.
-    none = F.lit(None).cast("struct<md5:string,chars:bigint>")
-
-    def body(text):
-        return F.struct(F.md5(text).alias("md5"), F.length(text).cast("long").alias("chars"))
+    # Bodies stay where they are; a response carries its number.
+    none = F.lit(None).cast("long")
 
     def record(number, offset, kind, url, etag, length, payload, cache, kept=F.lit(True)):
         time = F.col("page_id") * 10 + offset
@@ -40,13 +48,13 @@ def _captures(pages):
         columns = {"record_id": F.col("page_id") * 5 + number, "url": url, "time": time, "kind": F.lit(kind), "etag": etag, "last_modified": modified, "headers": F.map_from_entries(fields), "payload": payload}
         return F.when(kept, F.struct(*[c.alias(n) for n, c in columns.items()]))
 
-    changed = F.concat(F.col("html"), F.lit("<!-- 2 -->"))
+    changed = _changed_body()
     new_tag = F.concat(F.lit('"2-'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
     late_tag = F.when(F.col("page_id") % 5 != 0, tag)
     records = F.array(
-        record(0, 0, "response", F.col("url"), tag, F.length("html"), body(F.col("html")), "max-age=60"),
+        record(0, 0, "response", F.col("url"), tag, F.length("html"), F.col("page_id") * 5, "max-age=60"),
         record(1, 3, "revisit", F.concat("url", F.lit("#again")), F.concat(F.lit("W/"), tag), F.lit(None), none, "max-age=600"),
-        record(2, 5, "response", F.col("url"), new_tag, F.length(changed), body(changed), "no-store", F.col("page_id") % 3 == 0),
+        record(2, 5, "response", F.col("url"), new_tag, F.length(changed), F.col("page_id") * 5 + 2, "no-store", F.col("page_id") % 3 == 0),
         record(3, 7, "revisit", F.regexp_replace("url", "^https?", "http"), late_tag, F.lit(None), none, "max-age=700"),
         record(4, -5, "revisit", F.col("url"), tag, F.lit(None), none, "max-age=800", F.col("page_id") % 7 == 0),
     )
@@ -55,7 +63,7 @@ def _captures(pages):
 
 def op3_revisit_resolution(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    found = warc.resolve(_captures(pages))
+    found = warc.attach(warc.resolve(_captures(pages)), _bodies(pages))
     fields = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return found.select(
         "record_id",
@@ -63,8 +71,8 @@ def op3_revisit_resolution(spark, sf_dir):
         "status",
         "base_id",
         F.array_join(fields, ";").alias("header_fields"),
-        F.col("payload.md5").alias("payload_md5"),
-        F.col("payload.chars").alias("payload_chars"),
+        F.md5("payload").alias("payload_md5"),
+        F.length("payload").cast("long").alias("payload_chars"),
     )
 
 

@@ -1,8 +1,8 @@
 """Resolution of not-modified revisits against the latest earlier full response of the same address.
 
 Records have ``record_id, url, time, kind`` (``response`` or ``revisit``), ``etag``, ``last_modified``,
-``headers`` (map of lower-case names) and ``payload``, a body or, to keep bodies out of the sort, its
-place or digest. An as-of join by canonical address finds, for every
+``headers`` (map of lower-case names) and ``payload``, a body or, to keep bodies out of the sort, the
+number under which ``attach`` finds it afterwards. An as-of join by canonical address finds, for every
 revisit, the response with the largest ``(time, record_id)`` below its own. The revisit is ``resolved`` if
 the validators agree (entity tags compared weakly; only where either side has none, the modification
 dates), else ``mismatch``; without an earlier response it is ``orphan``. A resolved revisit takes the
@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave.scale import add_salt, hot_keys, replicate
 from lexweave.session import cut_lineage
 
 #: Header fields that a not-modified answer may carry and so update. Fixed values of HTTP caching.
@@ -68,6 +69,20 @@ def resolve(records: DataFrame) -> DataFrame:
     return _merged(joined.withColumn("_base", F.when(F.col("kind") == "revisit", F.coalesce("_seen", "_before"))), columns)
 
 
+def attach(resolved: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``resolved`` with the body that its ``payload`` numbers, from ``bodies`` with ``body_id`` and ``body``.
+
+    Each body is shuffled once. One that very many records share is copied once per salt of its number. Of
+    repeated numbers in ``bodies`` one row counts; a null or unknown number gives a null body.
+    """
+    rows = cut_lineage(resolved.withColumnRenamed("payload", "_number"))
+    hot = cut_lineage(hot_keys(rows, ["_number"]))
+    left = add_salt(rows, hot, ["_number"], ["record_id", "time"])
+    held = replicate(bodies.select(F.col("body_id").alias("_number"), "body"), hot, ["_number"])
+    one = held.groupBy("_number", "_salt").agg(F.any_value("body").alias("payload"))
+    return left.join(one, ["_number", "_salt"], "left").select(*[c for c in rows.columns if c != "_number"], "payload")
+
+
 def _merged(joined: DataFrame, columns: list[str]) -> DataFrame:
     etag, modified = _validator("etag"), _validator("last_modified")
     both_tags = etag.isNotNull() & F.col("_base.etag").isNotNull()

@@ -82,3 +82,18 @@ def test_repeats_and_empty_table(spark):
     found = warc.resolve(spark.createDataFrame(rows, SCHEMA)).groupBy("status").agg(F.count("*").alias("n")).collect()
     assert {r.status: r.n for r in found} == {"full": 3, "resolved": 2}
     assert warc.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("rows_per_salt", [4096, 2])
+def test_attached_bodies_equal_bodies_that_travelled(spark, monkeypatch, rows_per_salt):
+    hot = warc.hot_keys
+    monkeypatch.setattr(warc, "hot_keys", lambda df, keys: hot(df, keys, rows_per_salt))
+    rows = records(400)
+    light = spark.createDataFrame([(*r[:7], r[0] if r[7] is not None else None, r[8]) for r in rows], SCHEMA.replace("payload string", "payload long"))
+    bodies = spark.createDataFrame([(r[0], r[7]) for r in rows if r[7] is not None] * 2, "body_id long, body string")
+    found = warc.attach(warc.resolve(light), bodies).collect()
+    want = walk(rows)
+    assert len(found) == len(rows)
+    for row in found:
+        assert (row.base_id, row.status, row.headers, row.payload) == want[row.record_id]
+    assert warc.attach(warc.resolve(light), bodies.limit(0)).where("payload IS NOT NULL").count() == 0
