@@ -9,7 +9,8 @@ the window's words are compared exactly. A window with a shingle that no documen
 before the join.
 
 The benchmark is taken in blocks of about ``BLOCK_BYTES`` of text, so what a task holds is bounded;
-results of several blocks are joined per document. Null texts and items without words have no windows;
+results of several blocks are joined per document. Windows with the same items are one class, and documents
+carry classes; the items of a set of classes are looked up once for each set that occurs. Null texts and items without words have no windows;
 equal windows of several items are one; null item ids count as the text ``null``; repeated rows each
 get a row, other columns are ignored.
 """
@@ -22,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lexweave.llm.common import Words, ascii_lower, mix, pieces, utf8
+from lexweave.scale import lookup_join
 from lexweave.session import cut_lineage
 
 WINDOW, SHINGLE = 13, 5
@@ -65,7 +67,7 @@ class Block:
         known: dict[tuple[bytes, ...], int] = {}
         self.starts: list[int] = []
         self.sizes: list[int] = []
-        self.items: list[list[str]] = []
+        owners: list[set[str]] = []
         for item, (name, _) in enumerate(items):
             first, end = int(words.first[item]), int(words.first[item + 1])
             size = min(window, end - first)
@@ -74,9 +76,11 @@ class Block:
                 if at == len(self.starts):
                     self.starts.append(start)
                     self.sizes.append(size)
-                    self.items.append([])
-                if name not in self.items[at]:
-                    self.items[at].append(name)
+                    owners.append(set())
+                owners[at].add(name)
+        numbers: dict[frozenset[str], int] = {}
+        self.classes = np.array([numbers.setdefault(frozenset(names), len(numbers)) for names in owners], np.int64)
+        self.members = list(numbers)
         self.shingle_sizes = sorted({min(shingle, s) for s in self.sizes})
         by_size = {k: _shingles(self.hashes, k) for k in self.shingle_sizes}
         placed = [(by_size[k], s, n - k + 1) for s, n in zip(self.starts, self.sizes, strict=True) for k in (min(shingle, n),)]
@@ -101,6 +105,14 @@ class Block:
         self.starts, self.sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
         del self.parts
 
+    def take_members(self, first: int) -> pa.Table:
+        """``class, item_id`` of the classes, numbered from ``first``; the block keeps the numbers only."""
+        of = np.repeat(np.arange(len(self.members)) + first, [len(m) for m in self.members])
+        names = pa.array([name for m in self.members for name in sorted(m)], pa.string())
+        self.classes = self.classes + first
+        self.members = []
+        return pa.table({"class": pa.array(of, pa.int64()), "item_id": names})
+
     @staticmethod
     def _places(hashes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where ``hashes`` are among the sorted ``wanted``, and which of them."""
@@ -190,10 +202,10 @@ def _rarity(docs: DataFrame, block: Block) -> np.ndarray:
 
 
 def _matches(docs: DataFrame, block: Block, every: bool) -> DataFrame:
-    """Word counts, hit spans and items; ``every``: also of texts without hits."""
+    """Word counts, hit spans and window classes; ``every``: also of texts without hits."""
     names = [*[c for c in docs.columns if c != "text"]]
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    kinds = {"n_words": LongType(), "spans": ArrayType(LongType()), "items": ArrayType(StringType())}
+    kinds = {"n_words": LongType(), "spans": ArrayType(LongType()), "classes": ArrayType(LongType())}
     schema = StructType([*[docs.schema[c] for c in names], *[StructField(n, t) for n, t in kinds.items()]])
 
     def run(batches):
@@ -203,12 +215,12 @@ def _matches(docs: DataFrame, block: Block, every: bool) -> DataFrame:
             start, window = block.occurrences(words)
             doc = words.doc[start]
             spans: list[list[int]] = [[] for _ in range(piece.num_rows)]
-            items: list[list[str]] = [[] for _ in range(piece.num_rows)]
+            classes: list[list[int]] = [[] for _ in range(piece.num_rows)]
             for d in np.unique(doc).tolist():
                 own = doc == d
                 spans[d] = _merged(start[own] - words.first[d], block.sizes[window[own]])
-                items[d] = sorted({name for w in window[own].tolist() for name in block.items[w]})
-            columns = [*piece.columns[:-1], pa.array(np.diff(words.first)), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+                classes[d] = np.unique(block.classes[window[own]]).tolist()
+            columns = [*piece.columns[:-1], pa.array(np.diff(words.first)), pa.array(spans, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int64()))]
             out = pa.RecordBatch.from_arrays(columns, names=[*names, *kinds])
             yield out if every else out.filter(pa.array([bool(s) for s in spans]))
 
@@ -227,36 +239,52 @@ def _covered(spans: str) -> Column:
     return F.when(F.size(spans) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(pairs, start, step, lambda done: done["n"]))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id``, a hash ``_text``, ``n_words``, ``spans`` (starts and ends) and ``items`` of every row."""
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, a hash ``_text``, ``n_words``, ``spans`` (starts and ends) and ``classes`` of every row; ``class, item_id``."""
     docs = docs.select("doc_id", "text")
-    found = None
+    found, members, first = None, None, 0
     for items in _blocks(benchmark, block_bytes):
         block = Block(items, window)
         block.choose(_rarity(docs, block))
+        n_classes = len(block.members)
+        table = cut_lineage(docs.sparkSession.createDataFrame(block.take_members(first)))
+        members = table if members is None else members.unionByName(table)
+        first += n_classes
         if found is None:
             found = _matches(docs.withColumn("_text", F.xxhash64("text")), block, every=True)
             continue
         more = _matches(docs.select("doc_id", F.xxhash64("text").alias("_text"), "text"), block, every=False).distinct()
-        others = [c for c in found.columns if c not in ("spans", "items")]
-        more = cut_lineage(more.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), F.col("spans").alias("_s"), F.col("items").alias("_i")))
+        others = [c for c in found.columns if c not in ("spans", "classes")]
+        more = cut_lineage(more.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), F.col("spans").alias("_s"), F.col("classes").alias("_c")))
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t"))
-        both = [F.concat(a, F.coalesce(b, F.array())).alias(a) for a, b in (("spans", "_s"), ("items", "_i"))]
+        both = [F.concat(a, F.coalesce(b, F.array())).alias(a) for a, b in (("spans", "_s"), ("classes", "_c"))]
         found = cut_lineage(found.join(more, same, "left").select(*others, *both))
-    return found.withColumn("items", F.array_distinct("items"))
+    return found, members
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``matches`` with the number of items and the hash of their sorted ids, comma-joined."""
+    found, members = matches(docs, benchmark, window, block_bytes)
+    key = F.when(F.size("classes") > 0, F.array_join(F.transform("classes", lambda c: c.cast("string")), ","))
+    found = cut_lineage(found.withColumn("_set", key))
+    sets = found.where("_set IS NOT NULL").select("_set", "classes").distinct()
+    named = sets.select("_set", F.explode("classes").alias("class")).join(members, "class")
+    items = named.groupBy("_set").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    digests = items.select("_set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    judged = lookup_join(found, cut_lineage(digests), ["_set"], ["doc_id", "_text"], "left")
+    nothing = {"n_items": F.coalesce("n_items", F.lit(0).cast("long")), "items_sha256": F.coalesce("items_sha256", F.sha2(F.lit(""), 256))}
+    return judged.withColumns(nothing).drop("_set")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts, the hash of the item ids, and whether five per cent of the words are hit."""
-    counted = found.withColumns({"n_hit": _covered("spans"), "n_items": F.size("items").cast("long")})
-    items = F.sha2(F.concat_ws(",", F.sort_array("items")), 256)
-    contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
-    return counted.withColumns({"items_sha256": items, "contaminated": contaminated})
+    """Hit words, and whether they are five per cent of all."""
+    counted = found.withColumn("n_hit", _covered("spans"))
+    return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The whole rows of ``docs`` that are not contaminated."""
     hashed = docs.select("doc_id", F.xxhash64("text").alias("_hash"), F.struct(*docs.columns).alias("_row"))
-    dirty = digest(hits(docs, benchmark)).where("contaminated").select(F.col("doc_id").alias("_id"), "_text").distinct()
+    dirty = digest(matches(docs, benchmark)[0]).where("contaminated").select(F.col("doc_id").alias("_id"), "_text").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))
     return hashed.join(cut_lineage(dirty), same, "left_anti").select("_row.*")

@@ -67,3 +67,17 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     row = decontam.digest(decontam.hits(some, benchmark)).first()
     assert (row.n_words, row.n_hit, row.contaminated) == (2, 0, False)
+
+
+def test_one_window_of_very_many_items(spark):
+    shared = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    n = 60_000
+    items = [(i, shared) for i in range(n)] + [(n, shared + " fourteen"), (n + 1, "alone it stands")]
+    docs = spark.createDataFrame([(i, "x " + shared + (" fourteen" if i % 2 else "")) for i in range(40)] + [(99, "alone it stands")], "doc_id long, text string")
+    found = decontam.digest(decontam.hits(docs, spark.createDataFrame(items, "item_id long, text string"))).collect()
+    names = [hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest() for ids in (range(n + 1), [n + 1])]
+    for row in found:
+        alone = row.doc_id == 99
+        assert (row.n_items, row.items_sha256) == ((1, names[1]) if alone else (n + 1, names[0]))
+        # Two blocks, in each of which the shared window has one class and the longer item's other window one.
+        assert len(row.classes) <= 4 and row.n_hit == (3 if alone else 13 + row.doc_id % 2)
