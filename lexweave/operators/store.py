@@ -19,6 +19,7 @@ from lexweave.session import bucketed
 
 # At the sizes of a large corpus a bucket of 1/4096 of the distinct pairs fits one task; small corpora take fewer.
 BUCKETS = 64
+MOST_BUCKETS = 4096
 
 
 def save(rows: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
