@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lexweave.functions import tokens as tk
 from lexweave.session import cut_lineage
-from lexweave.sources.corpus import valid_terms
-
-
-def _size(array: Column) -> Column:
-    return F.coalesce(F.greatest(F.size(array), F.lit(0)), F.lit(0))
+from lexweave.sources.decoding import decode_lines
 
 
 def parse_observed(lines: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, int]]:
@@ -21,18 +16,7 @@ def parse_observed(lines: DataFrame, text: str = "text") -> tuple[DataFrame, dic
     twice: the sums are observed while the table is written. A task that runs again after a lost executor may be
     counted again, so these are figures for reports, not for results.
     """
-    raw = F.filter(F.split(F.get(F.split(text, tk.EDGE_MARK), F.lit(1)), " "), lambda e: e != "")
-    rows = lines.select(
-        "doc_id",
-        "line_no",
-        tk.parsed_terms(F.col(text)).alias("terms"),
-        tk.parsed_edges(F.col(text)).alias("edges"),
-        _size(raw).alias("_edges"),
-    )
-    usable = F.filter("edges", lambda e: F.get("terms", e.gov).isNotNull() & F.get("terms", e.dep).isNotNull())
-    counted = rows.withColumns(
-        {"_tokens": _size(F.col("terms")), "_valid": _size(valid_terms(F.col("terms"))), "_usable": _size(usable)}
-    )
+    counted = decode_lines(lines, text, seen=True)
     sums = {"tokens": "_tokens", "tokens_kept": "_valid", "edges": "_edges", "edges_kept": "_usable"}
     seen = Observation("parsed")
     watched = counted.observe(seen, *[F.sum(column).alias(name) for name, column in sums.items()])
